@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: A word is a maximal run of characters outside ASCII white space.
 WORD_SPACE = r"[\x20\x09-\x0D]+"
+#: Bytes of text that are worked on at once; a longer text is a chunk of its own.
+CHUNK = 2 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -37,3 +46,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def per_process(key: tuple, make: Callable[[], Any]) -> Any:
+    """``make()``, kept for later tasks of the same Python worker."""
+    kept = sys.modules.setdefault("_assayer_worker", types.ModuleType("_assayer_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
+def chunks(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets within bytes) of whole texts; null is empty."""
+    text = pc.fill_null(column, "")
+    text = (pc.utf8_lower(text) if lower else text).cast(pa.large_string())
+    offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+    data = np.frombuffer(text.buffers()[2] or b"", np.uint8)
+    at = 0
+    while at < len(text):
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, "right")) - 1)
+        yield at, end, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
+        at = end

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, per_process
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -152,7 +152,8 @@ def token_pieces(df: DataFrame, tokenizer_path: str, end_id: int = 1, size: int
     step = 4 * size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = text_encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        encode = per_process(("encoder", tokenizer_path), lambda: text_encoder(tokenizer_path))
+        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             docs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
             while part := list(islice(docs, 500)):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, table
@@ -27,6 +27,35 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(materialize(pieces.drop("ids"), "pieces"))
 
 
+def held_out(modulus: int, remainder: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_mil import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held_out(4, 2))
+    return score(docs, train(docs, labels)).select("doc_id", held_out(4, 2).alias("held_out"), "score", "predicted", "top_passage")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, train(docs.where(~held_out(5, 0))))
+    return found.select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score", "languages")
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .sentencepiece_codec import encode_decode
+
+    docs = table(spark, sf_dir, "documents")
+    return encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep_ids=False)
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import KINDS, render, secret_spans
 
