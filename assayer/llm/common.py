@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters outside ASCII white space.
 WORD_SPACE = r"[\x20\x09-\x0D]+"
@@ -33,6 +34,21 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker is sent at once by bytes, for long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+
+
+def semi_by_id(df: DataFrame, ids: DataFrame, on: str, limit: int = 400_000) -> DataFrame:
+    """Rows of ``df`` whose ``on`` is in the distinct ``ids``.
+
+    ``ids`` is counted: up to ``limit`` numbers (a few MB) are broadcast, which
+    spares ``df`` a shuffle; more of them are joined by a shuffle.
+    """
+    small = ids.limit(limit + 1).count() <= limit
+    return df.join(F.broadcast(ids) if small else ids, on, "left_semi")
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to a table in the shared folder and reads it back.
 

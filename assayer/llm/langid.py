@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import bound_batches, chunks
 
 BUCKETS = 1 << 16
 UNKNOWN = "und"
@@ -68,6 +68,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
                 ["lang", "bucket", "n"],
             )
 
+    bound_batches(docs.sparkSession)
     rows = docs.where(F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     table = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(table["lang"].to_pylist()))
@@ -154,5 +155,6 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], doc_id: str =
                 ids = batch.column(0).slice(first, n)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(lang), pa.array(score), pa.array(sets)], ["doc_id", "lang_pred", "score", "languages"])
 
+    bound_batches(docs.sparkSession)
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(text).rlike(r"\p{L}").alias("ok"))
     return source.mapInArrow(run, "doc_id long, lang_pred string, score double, languages string")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, per_process
+from .common import bound_batches, materialize, per_process
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -168,6 +168,7 @@ def token_pieces(df: DataFrame, tokenizer_path: str, end_id: int = 1, size: int
                     ["doc_id", "piece", "start", "length", "ids_crc32", "ids"],
                 )
 
+    bound_batches(df.sparkSession)
     source = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return source.mapInArrow(run, f"{PIECES}, ids binary")
 

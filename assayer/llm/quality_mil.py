@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import bound_batches, chunks
 
 PASSAGE, BAG, SAMPLE = 512, 64, 4000
 HIDDEN, GATES, ROUNDS = 24, 12, 400
@@ -133,6 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                     ["doc_id", "label", "bag"],
                 )
 
+    bound_batches(docs.sparkSession)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     # At most SAMPLE rows of two numbers are broadcast.
     sample = texts.join(F.broadcast(known), "doc_id").select("text", "doc_id", "label").mapInArrow(encode, "doc_id long, label int, bag binary")
@@ -163,5 +164,6 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], doc_id: str = "doc_id",
                     ["doc_id", "score", "predicted", "top_passage"],
                 )
 
+    bound_batches(docs.sparkSession)
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return source.mapInArrow(run, "doc_id long, score double, predicted int, top_passage long")

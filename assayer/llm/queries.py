@@ -31,6 +31,12 @@ def held_out(modulus: int, remainder: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embed_dedup import embedding_near_dedup
+
+    return embedding_near_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_mil import score, train
 

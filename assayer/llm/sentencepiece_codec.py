@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_process
+from .common import bound_batches, per_process
 
 MARK = "▁"
 NORMAL, CONTROL, BYTE = 1, 3, 6
@@ -222,5 +222,6 @@ def encode_decode(df: DataFrame, model_path: str, doc_id: str = "doc_id", text:
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)]
                 yield pa.RecordBatch.from_arrays(columns, names[: len(columns)])
 
+    bound_batches(df.sparkSession)
     source = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return source.mapInArrow(run, schema)
