@@ -83,6 +83,12 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), window=35, words_only=True)
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat_format import format_chats, parse_chats
 
