@@ -86,9 +86,13 @@ ALLOWED = (
 
 
 def _matches(text: Column, p: Pattern) -> Column:
-    """Leftmost non-overlapping matches as (gap, match, value) structs."""
+    """Leftmost non-overlapping matches as (gap, match, value) structs.
+
+    A gap starts where the match before it ended (\\G); without that anchor the text
+    after the last match would be searched again from each of its characters.
+    """
     return F.arrays_zip(
-        F.regexp_extract_all(text, F.lit(f"(?s)(.*?)(?:{p.regex})"), F.lit(1)).alias("gap"),
+        F.regexp_extract_all(text, F.lit(f"(?s)\\G(.*?)(?:{p.regex})"), F.lit(1)).alias("gap"),
         F.regexp_extract_all(text, F.lit(p.regex), F.lit(0)).alias("match"),
         F.regexp_extract_all(text, F.lit(p.regex), F.lit(p.group)).alias("value"),
     )
