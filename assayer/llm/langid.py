@@ -126,6 +126,26 @@ def infer(words: np.ndarray, doc: np.ndarray, rounds: int = 12) -> tuple[np.ndar
     return share, share.argmax(1)
 
 
+def _identified(text: pa.Array, has_letter: pa.Array, model: tuple[list[str], np.ndarray]) -> Iterator[tuple[int, int, list[str], np.ndarray, list[str]]]:
+    """(first row, end row, main language, its share, all languages) by chunk."""
+    names, table = model
+    ok = pc.fill_null(has_letter, False).to_numpy(zero_copy_only=False)
+    for first, end, data, offsets in chunks(text, lower=True):
+        n = end - first
+        lang, score, sets = [UNKNOWN] * n, np.zeros(n), [""] * n
+        code, doc, opens = trigrams(data, offsets)
+        if len(code) and names:
+            at = np.flatnonzero(opens)
+            words = np.add.reduceat(table[code], at, axis=0)
+            rows, dense = np.unique(doc[at], return_inverse=True)
+            share, main = infer(words.astype(np.float64), dense)
+            for r, s, m in zip(rows.tolist(), share, main.tolist(), strict=True):
+                if ok[first + r]:
+                    lang[r], score[r] = names[m], min(1.0, float(s[m]))
+                    sets[r] = ",".join(f"{names[k]}:{s[k]:.3f}" for k in np.argsort(-s, kind="stable") if s[k] >= 5e-4)
+        yield first, end, lang, score, sets
+
+
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: ``doc_id, lang_pred, score, languages``.
 
@@ -134,27 +154,28 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], doc_id: str =
     text where no language was learned, gets ``und`` and 0. Repeated rows are
     judged each; an empty table gives no rows; other columns are ignored.
     """
-    names, table = model
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = pc.fill_null(batch.column(2), False).to_numpy(zero_copy_only=False)
-            for first, end, data, offsets in chunks(batch.column(1), lower=True):
-                n = end - first
-                lang, score, sets = [UNKNOWN] * n, np.zeros(n), [""] * n
-                code, doc, opens = trigrams(data, offsets)
-                if len(code) and names:
-                    at = np.flatnonzero(opens)
-                    words = np.add.reduceat(table[code], at, axis=0)
-                    rows, dense = np.unique(doc[at], return_inverse=True)
-                    share, main = infer(words.astype(np.float64), dense)
-                    for r, s, m in zip(rows.tolist(), share, main.tolist(), strict=True):
-                        if ok[first + r]:
-                            lang[r], score[r] = names[m], min(1.0, float(s[m]))
-                            sets[r] = ",".join(f"{names[k]}:{s[k]:.3f}" for k in np.argsort(-s, kind="stable") if s[k] >= 5e-4)
-                ids = batch.column(0).slice(first, n)
+            for first, end, lang, score, sets in _identified(batch.column(1), batch.column(2), model):
+                ids = batch.column(0).slice(first, end - first)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(lang), pa.array(score), pa.array(sets)], ["doc_id", "lang_pred", "score", "languages"])
 
     bound_batches(docs.sparkSession)
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(text).rlike(r"\p{L}").alias("ok"))
     return source.mapInArrow(run, "doc_id long, lang_pred string, score double, languages string")
+
+
+def keep_identified(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose main language is known and has a share of at least ``least``."""
+    at, n = docs.columns.index(text), len(docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, end, lang, score, _ in _identified(batch.column(at), batch.column(n), model):
+                keep = pa.array([k != UNKNOWN and s >= least for k, s in zip(lang, score.tolist(), strict=True)], pa.bool_())
+                part = batch.slice(first, end - first).filter(keep)
+                yield pa.RecordBatch.from_arrays(part.columns[:n], part.schema.names[:n])
+
+    bound_batches(docs.sparkSession)
+    flagged = docs.select("*", F.col(text).rlike(r"\p{L}").alias("_has_letter"))
+    return flagged.mapInArrow(run, docs.schema)
