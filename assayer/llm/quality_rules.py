@@ -131,7 +131,7 @@ def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
         F.size(lower_words).cast("long").alias("n_stop_words"),
         F.regexp_count(t, F.lit(r"\p{Lu}{2,}[^\x20\x09-\x0D]*")).cast("long").alias("n_shout_words"),
         F.size(F.filter("_lines", lambda x: x.rlike(r"^[\x20\x09]*[-*•]"))).cast("long").alias("n_bullet_lines"),
-        F.size(F.filter("_lines", lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09]*$"))).cast("long").alias("n_ellipsis_lines"),
+        F.size(F.filter("_lines", lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09]*\z"))).cast("long").alias("n_ellipsis_lines"),
     )
 
 
