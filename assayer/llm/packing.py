@@ -107,7 +107,7 @@ class WordCache(dict):
         self.parts: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        if word.isascii():
+        if word.isascii() and word.isprintable():
             parts = self.plain.findall(word.lower())
         else:
             parts = [p for p, _ in self.split.pre_tokenize_str(self.normalizer.normalize_str(word))]
