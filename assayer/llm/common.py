@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import types
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 #: A word is a maximal run of characters outside ASCII white space.
 WORD_SPACE = r"[\x20\x09-\x0D]+"
 #: Bytes of text that are worked on at once; a longer text is a chunk of its own.
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -65,15 +66,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def per_process(key: tuple, make: Callable[[], Any]) -> Any:
-    """``make()``, kept for later tasks of the same Python worker."""
-    kept = sys.modules.setdefault("_assayer_worker", types.ModuleType("_assayer_worker")).__dict__
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
+    """``make()``, kept for later tasks of the same Python worker, one value at a time."""
+    kept = sys.modules.setdefault("_assayer_worker", types.ModuleType("_assayer_worker"))
+    if getattr(kept, "key", None) != key:
+        forget()
+        kept.key, kept.value = key, make()
+    return kept.value
+
+
+def forget() -> None:
+    """Frees what ``per_process`` keeps: workers outlive an operator and would hold on to it."""
+    kept = sys.modules.get("_assayer_worker")
+    if kept is not None and hasattr(kept, "value"):
+        del kept.key, kept.value
+        gc.collect()
+    pa.default_memory_pool().release_unused()
 
 
 def chunks(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets within bytes) of whole texts; null is empty."""
+    forget()
     text = pc.fill_null(column, "")
     text = (pc.utf8_lower(text) if lower else text).cast(pa.large_string())
     offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]

@@ -98,7 +98,7 @@ class WordCache(dict):
     pre-tokenizer drops white space and no merge crosses one.
     """
 
-    def __init__(self, tokenizer, limit: int = 500_000) -> None:
+    def __init__(self, tokenizer, limit: int = 250_000) -> None:
         import regex
 
         self.limit, self.model = limit, tokenizer.model
