@@ -11,8 +11,9 @@ Documents with equal sets form a class and are compared once. A key's classes
 are first confirmed against its smallest class alone, which links most of a
 group of near copies with as many candidates as members. Only classes that are
 still apart under a key are compared further: those outside the key's largest
-component against all others there. So every candidate pair is either inside a
-component or confirmed itself, and no group is expanded into all its pairs.
+component against all others there, as pairs where these are few, else in blocks
+that return a forest of confirmed links. So every candidate pair is either inside
+a component or confirmed itself, and no group is expanded into all its pairs.
 
 Defined cases: null and blank texts have no shingles and link with nothing;
 texts shorter than a shingle are one shingle; repeated rows have equal sets and
@@ -25,8 +26,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, chunks, materialize, semi_by_id
@@ -39,6 +41,11 @@ SIZE = CHUNKS * SYMBOLS
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
 #: ... and candidates beyond this one, which chance brought together, are not confirmed.
 LOOSE = 15
+#: The smallest shingle hashes of a set that estimate a similarity, and how many
+#: standard errors below the bound an estimate may lie.
+BOTTOM, ERRORS_BELOW = 128, 4.75
+#: A key with more pairs than this to compare is worked on in blocks of documents.
+WIDE, BLOCK, STRIP = 1024, 768, 4096
 _ODD = np.random.default_rng(11).integers(0, 1 << 63, (2, SIZE), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -97,23 +104,53 @@ def _keys(signature: str = "signature"):
     )
 
 
+def _with_bottoms(texts: DataFrame, shingle: int) -> DataFrame:
+    """Adds ``bottom``: the smallest hashes of the text's shingle set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, end, data, offsets in chunks(batch.column(1)):
+                least = [x[:BOTTOM].view(np.int64) ^ np.int64(-(1 << 63)) for x in shingle_sets(data, offsets, shingle)]
+                part = batch.slice(first, end - first)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(least, pa.list_(pa.int64()))], ["rep", "text", "bottom"])
+
+    return texts.select("rep", "text").mapInArrow(run, "rep long, text string, bottom array<long>")
+
+
+def _may_reach(percent: int) -> Column:
+    """False for pairs whose smallest hashes all but rule the similarity out."""
+    united = F.slice(F.array_sort(F.array_union("ba", "bb")), 1, BOTTOM)
+    k = F.size(united)
+    common = F.size(F.array_intersect(united, F.array_intersect("ba", "bb")))
+    bound = percent / 100
+    slack = ERRORS_BELOW * (bound * (1 - bound)) ** 0.5
+    return common >= k * bound - slack * F.sqrt(k.cast("double"))
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose shingle sets have 100 * common >= percent * united."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: tuple[str, np.ndarray] = ("", np.zeros(0, np.uint64))
+        known: dict[int, np.ndarray] = {}  # sets of recent documents, bounded by bytes
+        held = 0
 
-        def of(t: str) -> np.ndarray:
-            raw = np.frombuffer(t.encode(), np.uint8)
-            return shingle_sets(raw, np.array([0, len(raw)]), shingle)[0]
+        def of(doc: int, text: pa.Scalar) -> np.ndarray:
+            nonlocal held
+            if doc not in known:
+                raw = np.frombuffer(text.as_buffer(), np.uint8)
+                found = shingle_sets(raw, np.array([0, len(raw)]), shingle)[0]
+                if held > 32 << 20:
+                    known.clear()
+                    held = 0
+                known[doc] = found
+                held += found.nbytes + 200
+            return known[doc]
 
         for batch in batches:
             good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = x.as_py(), y.as_py()
-                if y != known[0]:  # rows come sorted by b: a centre's set is made once for its run
-                    known = (y, of(y))
-                sx, sy = of(x), known[1]
+            ids = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True)
+            for a, b, x, y in ids:
+                sx, sy = of(a, x), of(b, y)
                 common = len(sx) + len(sy) - len(np.union1d(sx, sy))
                 good.append(100 * common >= percent * (len(sx) + len(sy) - common))
             keep = pa.array(good, pa.bool_())
@@ -123,6 +160,41 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _block_links(pdf: pd.DataFrame, shingle: int, percent: int) -> pd.DataFrame:
+    """Confirmed links within one block of a key, or between two, as a forest.
+
+    All intersections come from products of incidence matrices, in strips of
+    shingles that two or more of the texts have.
+    """
+    raw = [np.frombuffer(t.encode(), np.uint8) for t in pdf["text"]]
+    sets = [shingle_sets(r, np.array([0, len(r)]), shingle)[0] for r in raw]
+    n = np.array([len(x) for x in sets])
+    values, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[at]
+    row = np.repeat(np.arange(len(sets)), n)
+    row, column = row[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, STRIP):
+        a, b = np.searchsorted(column, [first, first + STRIP])
+        strip = np.zeros((len(sets), STRIP), np.float32)
+        strip[row[a:b], column[a:b] - first] = 1
+        common += strip @ strip.T
+    close = 100 * common >= percent * (n[:, None] + n[None, :] - common)
+    part, own = pdf["part"].to_numpy(), pdf["own"].to_numpy()
+    close &= part[:, None] != part[None, :]
+    if pdf["low"].iloc[0] != pdf["high"].iloc[0]:
+        close &= own[:, None] != own[None, :]
+    linked = np.flatnonzero(close.any(1))
+    close, ids = close[np.ix_(linked, linked)], pdf["rep"].to_numpy()[linked]
+    root, last, big = ids.copy(), None, np.iinfo(np.int64).max
+    while len(ids) and (last is None or (root != last).any()):
+        last = root
+        root = np.minimum(root, np.where(close, root[None, :], big).min(1))
+    return pd.DataFrame({"a": ids, "b": root})[ids != root]
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``."""
     sketched = materialize(sketches(docs, shingle, doc_id, text), "sketches")
@@ -136,15 +208,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
     source = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).cast("string").alias("text"))
     # An id that stands for several rows has one text of its class kept: the first in order.
     texts = semi_by_id(source, ids, "rep").groupBy("rep").agg(F.min("text").alias("text"))
-    texts = materialize(texts, "texts")
+    texts = materialize(_with_bottoms(texts, shingle), "texts")
     sides = classes.select("rep", "n", "signature")
+    bottoms = texts.select("rep", "bottom")
+    texts = texts.select("rep", "text")
 
     def plausible(pairs: DataFrame) -> DataFrame:
-        """Pairs ``a < b`` that the set sizes and the signatures allow."""
+        """Pairs that the set sizes, the signatures and the smallest hashes allow."""
         a, b = (sides.withColumnsRenamed({"rep": k, "n": f"n{k}", "signature": f"s{k}"}) for k in "ab")
         apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, x: s + x)
         sizes = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (apart <= LOOSE)
-        return pairs.join(a, "a").join(b, "b").where(sizes).select("a", "b")
+        pairs = pairs.join(a, "a").join(b, "b").where(sizes).select("a", "b")
+        a, b = (bottoms.withColumnsRenamed({"rep": k, "bottom": f"b{k}"}) for k in "ab")
+        return pairs.join(a, "a").join(b, "b").where(_may_reach(percent)).select("a", "b")
 
     stars = live.where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
     stars = materialize(plausible(stars), "stars")
@@ -154,13 +230,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
     # Keys under which several components, or loose classes, meet.
     labelled = live.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
     sizes = labelled.groupBy("key", "part").agg(F.count("*").alias("size"))
-    major = sizes.groupBy("key").agg(F.max_by("part", F.struct("size", "part")).alias("major"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = materialize(labelled.join(major.drop("parts"), "key"), "open")
+    major = sizes.groupBy("key").agg(
+        F.max_by("part", F.struct("size", "part")).alias("major"), F.count("*").alias("parts"), F.sum("size").alias("total"), F.max("size").alias("most")
+    )
+    open_ = materialize(labelled.join(major.where("parts > 1").drop("parts"), "key"), "open")
+    wide = (F.col("total") - F.col("most")) * F.col("total") > WIDE
+
+    # Much work under a key: blocks of its documents, compared without a row for each pair.
+    blocks = F.ceil(F.col("total") / BLOCK).cast("int")
+    placed = open_.where(wide).select("key", "rep", "part", blocks.alias("blocks"))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("key", "rep", "part", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    in_blocks = placed.join(texts, "rep").groupBy("key", "low", "high").applyInPandas(lambda pdf: _block_links(pdf, shingle, percent), "a long, b long")
+    in_blocks = materialize(in_blocks, "blocks")
+
+    # Little work: its pairs.
+    open_ = open_.where(~wide).drop("total", "most")
     minor = open_.where("part <> major").select("key", F.col("rep").alias("x"), F.col("part").alias("px"))
     apart = (F.col("px") != F.col("part")) & ((F.col("part") == F.col("major")) | (F.col("x") < F.col("rep")))
     more = minor.join(open_, "key").where(apart).select(F.least("x", "rep").alias("b"), F.greatest("x", "rep").alias("a")).distinct()
     more = materialize(plausible(more.join(stars, ["a", "b"], "left_anti")), "more")
-    linked = linked.unionByName(confirm(more, texts, shingle, percent))
+    linked = linked.unionByName(confirm(more, texts, shingle, percent)).unionByName(in_blocks)
     parts = connected_components(linked).withColumnRenamed("node", "rep")
 
     classes = classes.join(parts, "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
