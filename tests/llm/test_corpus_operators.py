@@ -64,8 +64,10 @@ def _corpus(seed=4, n=120):
     return [*enumerate([*texts, None, "", " \t", "one", "ONE", "one two", "x" * 3000, "a b c d e"])]
 
 
-@pytest.mark.parametrize("k", [4, 5])
-def test_minhash(spark, k):
+@pytest.mark.parametrize("k,wide,block", [(4, 1024, 768), (5, 0, 7)])
+def test_minhash(spark, monkeypatch, k, wide, block):
+    monkeypatch.setattr("assayer.llm.minhash.WIDE", wide)
+    monkeypatch.setattr("assayer.llm.minhash.BLOCK", block)
     docs = _corpus()
     df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, n_shingles string").repartition(4)
     out = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df, shingle=k).collect()}
