@@ -176,9 +176,10 @@ def _block_links(pdf: pd.DataFrame, shingle: int, percent: int) -> pd.DataFrame:
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     common = np.zeros((len(sets), len(sets)), np.float32)
-    for first in range(0, int(column[-1]) + 1 if len(column) else 0, STRIP):
+    width = int(column[-1]) + 1 if len(column) else 0
+    for first in range(0, width, STRIP):
         a, b = np.searchsorted(column, [first, first + STRIP])
-        strip = np.zeros((len(sets), STRIP), np.float32)
+        strip = np.zeros((len(sets), min(STRIP, width - first)), np.float32)
         strip[row[a:b], column[a:b] - first] = 1
         common += strip @ strip.T
     close = 100 * common >= percent * (n[:, None] + n[None, :] - common)
