@@ -191,10 +191,10 @@ def secret_spans(df: DataFrame, text: str = "text", out: str = "secrets") -> Dat
             for k, p in PATTERNS.items()
         ]
     )
-    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in (out.lower(), "_base", "_more")]
-    df = df.select(*kept, base.alias("_base"), _spans(t, CANDIDATE, 3, is_random).alias("_more"))
-    more = F.filter("_more", lambda e: ~F.exists("_base", lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
-    return df.withColumn(out, F.array_sort(F.concat("_base", more))).drop("_base", "_more")
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in (out.lower(), "__base", "__more")]
+    df = df.select(*kept, base.alias("__base"), _spans(t, CANDIDATE, 3, is_random).alias("__more"))
+    more = F.filter("__more", lambda e: ~F.exists("__base", lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
+    return df.withColumn(out, F.array_sort(F.concat("__base", more))).drop("__base", "__more")
 
 
 def render(spans: Column) -> Column:

@@ -218,33 +218,34 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
 
 def _matching(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``docs`` with a key in ``keys`` and those without; few keys are broadcast, after counting."""
-    small = keys.limit(FEW + 1).count() <= FEW
+    small, on = keys.limit(FEW + 1).count() <= FEW, keys.columns
     keys = F.broadcast(keys) if small else keys
-    return docs.join(keys, ["k1", "k2"], "left_semi"), docs.join(keys, ["k1", "k2"], "left_anti")
+    return docs.join(keys, on, "left_semi"), docs.join(keys, on, "left_anti")
 
 
-def remove_repeats(docs: DataFrame, window: int = 35, doc_id: str = "doc_id", text: str = "text", words_only: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 35, doc_id: str = "doc_id", text: str = "text", words_only: bool = False, text_only: bool = False) -> DataFrame:
     """Removes every word covered by a window of words that also starts elsewhere.
 
     Adds ``n_words``, ``n_removed`` and ``kept_sha256`` (of the kept words joined by
     one space) to the input columns, replacing columns of those names, and puts the
-    kept text into ``text``: the text without the removed stretches, or, with
-    ``words_only``, nothing but the three new columns and the id.
+    kept text into ``text``: the text without the removed stretches. With
+    ``words_only`` the result is the id and the three new columns, with ``text_only``
+    the input columns alone.
     """
     bound_batches(docs.sparkSession)
-    names = [c for c in docs.columns if c.lower() not in ("n_words", "n_removed", "kept_sha256", "k1", "k2", "spans")]
-    if words_only:
-        names = [doc_id, text]
+    added = ["n_words", "n_removed", "kept_sha256"]
+    names = [doc_id, text] if words_only else [c for c in docs.columns if text_only or c.lower() not in added]
     keyed = _keyed(docs, doc_id, text)
     spans = repeated_windows(keyed, window)
     t, i = F.col(text).cast("string"), F.col(doc_id).cast("long")
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(i, t).alias("k1"), F.coalesce(i, F.lit(-1)).alias("k2"))
-    hit, rest = _matching(rows, spans.select("k1", "k2"))
-    both = hit.join(spans, ["k1", "k2"]).unionByName(rest.withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)))
-    both = both.select(*[F.col(f"`{c}`") for c in names], "spans")
+    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(i, t).alias("__k1"), F.coalesce(i, F.lit(-1)).alias("__k2"))
+    spans = spans.withColumnsRenamed({"k1": "__k1", "k2": "__k2", "spans": "__spans"})
+    hit, rest = _matching(rows, spans.select("__k1", "__k2"))
+    both = hit.join(spans, ["__k1", "__k2"]).unionByName(rest.withColumn("__spans", F.lit(None).cast(spans.schema["__spans"].dataType)))
+    both = both.select(*[F.col(f"`{c}`") for c in names], "__spans")
     at = names.index(text)
     out_names = [doc_id] if words_only else names
-    schema = ", ".join([*(f"`{c}` {both.schema[c].dataType.simpleString()}" for c in out_names), "n_words long, n_removed long, kept_sha256 string"])
+    schema = ", ".join([*(f"`{c}` {both.schema[c].dataType.simpleString()}" for c in out_names), *([] if text_only else ["n_words long, n_removed long, kept_sha256 string"])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,7 +271,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, doc_id: str = "doc_id", te
                 n_removed.append(removed)
                 digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
             kept = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(names)) if names[k] in out_names]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests)], [*out_names, "n_words", "n_removed", "kept_sha256"])
+            counts = [] if text_only else [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())]
+            yield pa.RecordBatch.from_arrays([*kept, *counts], [*out_names, *added[: len(counts)]])
 
     return both.mapInArrow(run, schema)
 
