@@ -48,12 +48,12 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts stretches of 35 words or more that also occur elsewhere."""
-    return _resized(remove_repeats(docs, window=35).select(docs.columns))
+    return _resized(remove_repeats(docs, window=35, text_only=True))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets by a mark."""
-    return _resized(redact(secret_spans(docs)).select(docs.columns))
+    return _resized(redact(secret_spans(docs, out="__secrets"), spans="__secrets").select(docs.columns))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
