@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _star(edges: DataFrame) -> DataFrame:
@@ -38,7 +38,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     links = materialize(links.where("ok").select("a", "b").distinct(), "links")
     seen = None
     while True:
-        links = materialize(_star(links), "links")
+        before, links = links, materialize(_star(links), "links")
+        discard(before)
         now = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if now == seen:
             break

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, chunks, materialize, semi_by_id
+from .common import bound_batches, chunks, discard, materialize, semi_by_id
 from .components import connected_components
 from .words import mix, runs, word_hashes
 
@@ -209,7 +209,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
     source = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).cast("string").alias("text"))
     # An id that stands for several rows has one text of its class kept: the first in order.
     texts = semi_by_id(source, ids, "rep").groupBy("rep").agg(F.min("text").alias("text"))
-    texts = materialize(_with_bottoms(texts, shingle), "texts")
+    stored_texts = texts = materialize(_with_bottoms(texts, shingle), "texts")
     sides = classes.select("rep", "n", "signature")
     bottoms = texts.select("rep", "bottom")
     texts = texts.select("rep", "text")
@@ -225,8 +225,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
 
     stars = live.where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
     stars = materialize(plausible(stars), "stars")
-    linked = materialize(confirm(stars, texts, shingle, percent), "linked")
-    parts = materialize(connected_components(linked), "parts")
+    first_links = materialize(confirm(stars, texts, shingle, percent), "linked")
+    parts = connected_components(first_links)
 
     # Keys under which several components, or loose classes, meet.
     labelled = live.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
@@ -234,7 +234,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
     major = sizes.groupBy("key").agg(
         F.max_by("part", F.struct("size", "part")).alias("major"), F.count("*").alias("parts"), F.sum("size").alias("total"), F.max("size").alias("most")
     )
-    open_ = materialize(labelled.join(major.where("parts > 1").drop("parts"), "key"), "open")
+    open_all = open_ = materialize(labelled.join(major.where("parts > 1").drop("parts"), "key"), "open")
     wide = (F.col("total") - F.col("most")) * F.col("total") > WIDE
 
     # Much work under a key: blocks of its documents, compared without a row for each pair.
@@ -252,8 +252,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
     apart = (F.col("px") != F.col("part")) & ((F.col("part") == F.col("major")) | (F.col("x") < F.col("rep")))
     more = minor.join(open_, "key").where(apart).select(F.least("x", "rep").alias("b"), F.greatest("x", "rep").alias("a")).distinct()
     more = materialize(plausible(more.join(stars, ["a", "b"], "left_anti")), "more")
-    linked = linked.unionByName(confirm(more, texts, shingle, percent)).unionByName(in_blocks)
+    linked = first_links.unionByName(confirm(more, texts, shingle, percent)).unionByName(in_blocks)
     parts = connected_components(linked).withColumnRenamed("node", "rep")
+    discard(live, stars, more, open_all, in_blocks, stored_texts)
 
     classes = classes.join(parts, "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
     out = sketched.join(classes, ["n", "s1", "s2"], "left")

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, chunks, materialize
+from .common import bound_batches, chunks, discard, materialize
 from .words import mix, word_hashes
 
 #: Naming rounds after the words themselves: runs first, then pairs.
@@ -199,6 +199,7 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     found = materialize(_find_segments(docs, window), "segments")
     names = found.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name")
     shared = materialize(found.join(names, "name", "left_semi"), "shared")
+    discard(found)
     where = F.struct("k1", "k2", "at", "n")
     distinct = shared.groupBy("name", "key").agg(F.count("*").alias("copies"), F.min(where).alias("one"))
     distinct = materialize(distinct.withColumn("kinds", F.count("*").over(Window.partitionBy("name"))), "distinct")
@@ -213,7 +214,9 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     partly = partly.groupBy("name", "key").agg(F.collect_list("offset").alias("offsets"))
     wholly = distinct.where("copies > 1").select("name", "key", F.lit(None).cast("array<int>").alias("offsets"))
     marked = shared.join(partly.unionByName(wholly), ["name", "key"])
-    return materialize(marked.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "n", "offsets")).alias("spans")), "spans")
+    spans = materialize(marked.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "n", "offsets")).alias("spans")), "spans")
+    discard(shared, distinct, listed, windows)
+    return spans
 
 
 def _matching(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
