@@ -37,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, chunks, discard, materialize
@@ -197,25 +197,27 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     lists those that are.
     """
     found = materialize(_find_segments(docs, window), "segments")
-    names = found.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name")
+    # Key tables are stored first: both sides of a join are then plain shuffles, which
+    # adaptive execution can split where a name or a window is very common.
+    names = materialize(found.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name"), "names")
     shared = materialize(found.join(names, "name", "left_semi"), "shared")
-    discard(found)
+    discard(found, names)
     where = F.struct("k1", "k2", "at", "n")
-    distinct = shared.groupBy("name", "key").agg(F.count("*").alias("copies"), F.min(where).alias("one"))
-    distinct = materialize(distinct.withColumn("kinds", F.count("*").over(Window.partitionBy("name"))), "distinct")
-    listed = distinct.where("kinds > 1").select("one.k1", "one.k2", F.struct("one.at", "one.n", "name", "key", "copies").alias("s"))
+    distinct = materialize(shared.groupBy("name", "key").agg(F.count("*").alias("copies"), F.min(where).alias("one")), "distinct")
+    several = materialize(distinct.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name"), "several")
+    listed = distinct.join(several, "name", "left_semi").select("one.k1", "one.k2", F.struct("one.at", "one.n", "name", "key", "copies").alias("s"))
     listed = listed.groupBy("k1", "k2").agg(F.collect_list("s").alias("list"))
     listed = materialize(listed, "listed")
     # Equal rows have equal keys: one of them is enough here.
     texts = _matching(docs, listed.select("k1", "k2"))[0].groupBy("k1", "k2").agg(F.first("text").alias("text"))
     windows = materialize(_list_windows(texts.join(listed, ["k1", "k2"]).select("text", "list"), window), "windows")
-    again = windows.groupBy("name", "hash").agg(F.sum("copies").alias("c")).where("c > 1").select("name", "hash")
+    again = materialize(windows.groupBy("name", "hash").agg(F.sum("copies").alias("c")).where("c > 1").select("name", "hash"), "again")
     partly = windows.where("copies = 1").join(again, ["name", "hash"], "left_semi")
     partly = partly.groupBy("name", "key").agg(F.collect_list("offset").alias("offsets"))
     wholly = distinct.where("copies > 1").select("name", "key", F.lit(None).cast("array<int>").alias("offsets"))
     marked = shared.join(partly.unionByName(wholly), ["name", "key"])
     spans = materialize(marked.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "n", "offsets")).alias("spans")), "spans")
-    discard(shared, distinct, listed, windows)
+    discard(shared, distinct, several, listed, windows, again)
     return spans
 
 
