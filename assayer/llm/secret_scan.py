@@ -181,8 +181,8 @@ def is_random(value: Column) -> Column:
 def secret_spans(df: DataFrame, text: str = "text", out: str = "secrets") -> DataFrame:
     """Adds ``out``: all spans, sorted by start, then kind; ``rank`` indexes ``KINDS``.
 
-    Entropy spans that touch a span of another kind are left out: that text is
-    reported already.
+    Entropy spans that lie within a span of another kind are left out: that text is
+    reported already. One that is covered in part stays whole and overlaps.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     base = F.concat(
@@ -193,7 +193,7 @@ def secret_spans(df: DataFrame, text: str = "text", out: str = "secrets") -> Dat
     )
     kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in (out.lower(), "__base", "__more")]
     df = df.select(*kept, base.alias("__base"), _spans(t, CANDIDATE, 3, is_random).alias("__more"))
-    more = F.filter("__more", lambda e: ~F.exists("__base", lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
+    more = F.filter("__more", lambda e: ~F.exists("__base", lambda b: (b["start"] <= e["start"]) & (e["end"] <= b["end"])))
     return df.withColumn(out, F.array_sort(F.concat("__base", more))).drop("__base", "__more")
 
 

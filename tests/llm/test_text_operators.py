@@ -154,6 +154,19 @@ def test_secrets(spark):
     assert secret_spans(frame(spark, SECRET_TEXTS).limit(0)).count() == 0
 
 
+def test_entropy_spans_that_base_spans_cover_in_part(spark):
+    texts = [
+        "a xoxb-1234567890123456-Zk3Jx8Qw1Lm5Vt7Rb2YpNc9H b",
+        "a C4E19B70D2A85F3692718ab6c5d4e3f20918A7C3 b",
+        "token=Zk3Jx8Qw1Lm5Vt7Rb2YpXc9N b",
+    ]
+    rows = redact(secret_spans(frame(spark, texts)).withColumn("all", render(F.col("secrets")))).collect()
+    out = {r.doc_id: (r.all, r.text) for r in rows}
+    assert out[0] == ("entropy:2:48,hex:7:23", "a [SECRET] b")
+    assert out[1] == ("entropy:2:42,hex:16:38", "a [SECRET] b")
+    assert out[2] == ("assign:0:30", "[SECRET] b")
+
+
 def test_window_entropy(spark):
     import math
 
