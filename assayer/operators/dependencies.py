@@ -23,12 +23,17 @@ def declared(manifests: DataFrame, content: str = "content") -> DataFrame:
     return out.where("declared is not null").withColumn("version", clean_version(F.col("declared")))
 
 
-def vulnerable(manifests: DataFrame, advisories: DataFrame, content: str = "content", path: str = "path", ecosystem: str = "npm") -> DataFrame:
-    """Findings: one per declared package and version with advisories, always of high severity."""
+def matched(manifests: DataFrame, advisories: DataFrame, content: str = "content", ecosystem: str = "npm") -> DataFrame:
+    """``name, version, ..., vuln_id, n_vulns``: declared packages with their first advisory and the count of all."""
     known = advisories.where(F.col("ecosystem") == ecosystem)
     first = F.min_by(F.coalesce(F.get("aliases", F.lit(0)), F.col("id")), F.struct("seq", "id"))
     known = known.groupBy("name", "version").agg(first.alias("vuln_id"), F.count("*").alias("n_vulns"))
-    found = declared(manifests, content).join(known, ["name", "version"])
+    return declared(manifests, content).join(known, ["name", "version"])
+
+
+def vulnerable(manifests: DataFrame, advisories: DataFrame, content: str = "content", path: str = "path", ecosystem: str = "npm") -> DataFrame:
+    """Findings: one per declared package and version with advisories, always of high severity."""
+    found = matched(manifests, advisories, content, ecosystem)
     rest = [F.col(f"`{c}`") for c in manifests.columns if c != content]
     return found.select(
         *rest,

@@ -16,6 +16,7 @@ from .functions.text import (
     clean_version, contains_ignoring_case, first_word, half_even, is_repository_url, line_count, lines_of, lookup, or_default,
     score_band, strip, suffix,
 )
+from .operators.dependencies import matched
 from .operators.findings import FIELDS, union_findings
 from .operators.joins import authenticate, first_containing, top_risks
 from .operators.risk import bug_risk
@@ -222,13 +223,23 @@ def session_user_join(spark, sf_dir):
     return authenticate(sessions, users, cut).select(F.col("session_token").alias("event_id"), "user_id", "name", "segment")
 
 
+def dependency_join(part, lineitem):
+    """``matched`` over parts as manifests of one package each and line items as its advisories."""
+    name, version = F.col("p_partkey").cast("string"), F.lit("1.0")
+    content = F.to_json(F.struct(F.create_map(name, version).alias("dependencies"))).alias("content")
+    seq = (F.col("l_linenumber").cast("long") * F.lit(1000000000) + F.col("l_orderkey")) * 100000 + F.col("l_suppkey")
+    advisories = lineitem.select(
+        F.col("l_partkey").cast("string").alias("name"), version.alias("version"), F.lit("npm").alias("ecosystem"),
+        F.lit(None).cast("array<string>").alias("aliases"), seq.cast("string").alias("id"), seq.alias("seq"),
+    )
+    found = matched(part.select("p_partkey", "p_name", content), advisories)
+    return found.select("p_partkey", "p_name", "n_vulns", F.col("vuln_id").cast("long").alias("first_seq"))
+
+
 @query("""SELECT p_partkey, p_name, count(*) AS n_vulns, min((CAST(l_linenumber AS BIGINT) * 1000000000 + l_orderkey) * 100000 + l_suppkey) AS first_seq
 FROM part JOIN lineitem ON p_partkey = l_partkey WHERE p_size > 40 GROUP BY p_partkey, p_name""")
 def dependency_vuln(spark, sf_dir):
-    packages = t(spark, sf_dir, "part").where("p_size > 40").select("p_partkey", "p_name")
-    seq = (F.col("l_linenumber").cast("long") * F.lit(1000000000) + F.col("l_orderkey")) * 100000 + F.col("l_suppkey")
-    known = t(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n_vulns"), F.min(seq).alias("first_seq"))
-    return packages.join(known, "p_partkey")
+    return dependency_join(t(spark, sf_dir, "part").where("p_size > 40"), t(spark, sf_dir, "lineitem"))
 
 
 @query("""WITH top AS (SELECT doc_id FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20),

@@ -33,6 +33,18 @@ def test_query(spark, duck, name):
     assert got == sorted(repr(tuple(r[names.index(c)] for c in cols)) for r in rel.fetchall())
 
 
+def test_dependency_join_of_whole_tables(spark, duck):
+    """All of part, whatever its size, meets all of lineitem through the operator."""
+    part, lineitem = (spark.read.parquet(f"{SF}/{name}.parquet") for name in ("part", "lineitem"))
+    want = duck.sql(
+        """SELECT p_partkey, p_name, count(*), min((CAST(l_linenumber AS BIGINT) * 1000000000 + l_orderkey) * 100000 + l_suppkey)
+        FROM part JOIN lineitem ON p_partkey = l_partkey GROUP BY ALL"""
+    ).fetchall()
+    got = [tuple(r) for r in Q.dependency_join(part, lineitem).collect()]
+    assert sorted(got) == sorted(want)
+    assert len(got) > part.where("p_size > 40").count()
+
+
 def test_entry_without_the_training_data_part():
     """The registry still imports when that subpackage and the pipeline are gone."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
