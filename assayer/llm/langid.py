@@ -165,14 +165,14 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], doc_id: str =
     return source.mapInArrow(run, "doc_id long, lang_pred string, score double, languages string")
 
 
-def keep_identified(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose main language is known and has a share of at least ``least``."""
+def keep_identified(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
+    """The rows, with all their columns, in which a language is found: mixtures too, whatever their shares."""
     at, n = docs.columns.index(text), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, lang, score, _ in _identified(batch.column(at), batch.column(n), model):
-                keep = pa.array([k != UNKNOWN and s >= least for k, s in zip(lang, score.tolist(), strict=True)], pa.bool_())
+            for first, end, lang, _, _ in _identified(batch.column(at), batch.column(n), model):
+                keep = pa.array([k != UNKNOWN for k in lang], pa.bool_())
                 part = batch.slice(first, end - first).filter(keep)
                 yield pa.RecordBatch.from_arrays(part.columns[:n], part.schema.names[:n])
 

@@ -26,8 +26,8 @@ def _resized(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a letter and those where no language has half of the words."""
-    return keep_identified(docs, train(docs), least=0.5)
+    """Drops texts in which no language is found; identified mixtures stay."""
+    return keep_identified(docs, train(docs))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

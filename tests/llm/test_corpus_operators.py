@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from assayer.llm.components import connected_components
 from assayer.llm.embed_dedup import embedding_near_dedup, tables_for
-from assayer.llm.langid import identify, train
+from assayer.llm.langid import identify, keep_identified, train
 from assayer.llm.minhash import near_duplicates
 from assayer.llm.quality_mil import score
 from assayer.llm.quality_mil import train as fit_quality
@@ -134,6 +134,18 @@ def test_language(spark):
     assert identify(df.limit(0), model).count() == 0
 
 
+def test_language_mixtures_are_kept(spark):
+    rng = random.Random(12)
+    kinds = {"aa": "na ta ka lo mi".split(), "bb": "ße üb sch ng ör".split(), "cc": "qu eau oi ç ez".split()}
+    make = lambda k, n: " ".join("".join(rng.choice(kinds[k]) for _ in range(3)) for _ in range(n))
+    rows = [(k, make(lang, 30), lang) for k, lang in enumerate(list(kinds) * 20)]
+    model = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    mixed = " ".join(make(k, n) for k, n in (("aa", 45), ("bb", 35), ("cc", 20)))
+    docs = spark.createDataFrame([(1, mixed), (2, "na üb eau"), (3, "12 !"), (4, None), (5, make("aa", 9))], "doc_id long, text string")
+    assert max(r.score for r in identify(docs.where("doc_id = 1"), model).collect()) < 0.5
+    assert {r.doc_id for r in keep_identified(docs, model).collect()} == {1, 2, 5}
+
+
 def test_quality_classifier(spark):
     rng = random.Random(8)
     good = lambda: " ".join(rng.choice(["the", "river", "runs", "slowly", "home"]) for _ in range(150))
