@@ -37,13 +37,10 @@ from .words import mix, runs, word_hashes
 
 CHUNKS, SYMBOLS, ERRORS = 6, 4, 1
 SIZE = CHUNKS * SYMBOLS
-#: All pairs up to this symbol distance are found ...
+#: All pairs up to this symbol distance are found.
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
-#: ... and candidates beyond this one, which chance brought together, are not confirmed.
-LOOSE = 15
-#: The smallest shingle hashes of a set that estimate a similarity, and how many
-#: standard errors below the bound an estimate may lie.
-BOTTOM, ERRORS_BELOW = 128, 4.75
+#: The smallest shingle hashes of a set that bound a similarity from above.
+BOTTOM = 128
 #: A key with more pairs than this to compare is worked on in blocks of documents.
 WIDE, BLOCK, STRIP = 1024, 768, 4096
 _ODD = np.random.default_rng(11).integers(0, 1 << 63, (2, SIZE), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -118,13 +115,19 @@ def _with_bottoms(texts: DataFrame, shingle: int) -> DataFrame:
 
 
 def _may_reach(percent: int) -> Column:
-    """False for pairs whose smallest hashes all but rule the similarity out."""
-    united = F.slice(F.array_sort(F.array_union("ba", "bb")), 1, BOTTOM)
-    k = F.size(united)
-    common = F.size(F.array_intersect(united, F.array_intersect("ba", "bb")))
-    bound = percent / 100
-    slack = ERRORS_BELOW * (bound * (1 - bound)) ** 0.5
-    return common >= k * bound - slack * F.sqrt(k.cast("double"))
+    """False only for pairs ``na, ba, nb, bb`` whose smallest hashes prove the similarity out of reach.
+
+    A hash of one side that is not beyond the other's largest stored one, and is not
+    stored there, is not in the other set at all.
+    """
+
+    def in_both(own: str, other: str, n_own: str, n_other: str) -> Column:
+        most = F.element_at(other, -1)
+        lacking = F.filter(F.array_except(own, other), lambda x: (F.col(n_other) <= BOTTOM) | (x <= most))
+        return F.col(n_own) - F.size(lacking)
+
+    common = F.least(in_both("ba", "bb", "na", "nb"), in_both("bb", "ba", "nb", "na"))
+    return 100 * common >= percent * (F.col("na") + F.col("nb") - common)
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -210,16 +213,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
     # An id that stands for several rows has one text of its class kept: the first in order.
     texts = semi_by_id(source, ids, "rep").groupBy("rep").agg(F.min("text").alias("text"))
     stored_texts = texts = materialize(_with_bottoms(texts, shingle), "texts")
-    sides = classes.select("rep", "n", "signature")
+    sides = classes.select("rep", "n")
     bottoms = texts.select("rep", "bottom")
     texts = texts.select("rep", "text")
 
     def plausible(pairs: DataFrame) -> DataFrame:
-        """Pairs that the set sizes, the signatures and the smallest hashes allow."""
-        a, b = (sides.withColumnsRenamed({"rep": k, "n": f"n{k}", "signature": f"s{k}"}) for k in "ab")
-        apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, x: s + x)
-        sizes = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (apart <= LOOSE)
-        pairs = pairs.join(a, "a").join(b, "b").where(sizes).select("a", "b")
+        """Pairs that the set sizes and the smallest hashes allow; none that is similar is lost."""
+        a, b = (sides.withColumnsRenamed({"rep": k, "n": f"n{k}"}) for k in "ab")
+        sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+        pairs = pairs.join(a, "a").join(b, "b").where(sizes).select("a", "b", "na", "nb")
         a, b = (bottoms.withColumnsRenamed({"rep": k, "bottom": f"b{k}"}) for k in "ab")
         return pairs.join(a, "a").join(b, "b").where(_may_reach(percent)).select("a", "b")
 

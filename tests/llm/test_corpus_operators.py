@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from assayer.llm import minhash
 from assayer.llm.components import connected_components
 from assayer.llm.embed_dedup import embedding_near_dedup, tables_for
 from assayer.llm.langid import identify, keep_identified, train
@@ -87,6 +88,31 @@ def test_minhash_chain_is_not_lost(spark):
     assert out == near(docs, 4)
 
 
+@pytest.mark.parametrize("apart", ["symbols", "smallest hashes"])
+def test_minhash_confirms_pairs_that_sketches_speak_against(spark, apart):
+    """Similarity 0.8 exactly, under a shared key, whatever the rest of the sketch says."""
+    words = [f"w{k}" for k in range(2000)]
+    hashes = np.array([minhash.shingle_sets(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]), 1)[0][0] for w in words])
+    h = (hashes[:, None] ^ minhash._ODD[1]) * minhash._ODD[0]
+    least = (h ^ (h >> np.uint64(32))).argsort(0)
+    if apart == "symbols":
+        # The first words of 20 of the 24 symbols are in one text alone; those of the others in both.
+        own = list(dict.fromkeys(least[0, 4:].tolist()))
+        shared = set(least[:1, :4].ravel().tolist())
+        own = [k for k in own if k not in shared]
+    else:
+        shared = set(least[0].tolist())
+        own = [k for k in hashes.argsort()[:220].tolist() if k not in shared]
+    rest = [k for k in range(2000) if k not in shared and k not in set(own)]
+    own = (own + rest)[:400]
+    both = [k for k in range(2000) if k not in set(own)]
+    halves = (own[0::2], own[1::2]) if apart != "symbols" else (own[:200], own[200:])
+    docs = [(i, " ".join(words[k] for k in both + half)) for i, half in enumerate(halves)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    out = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df, shingle=1).collect()}
+    assert out == near(docs, 1) and out[1][1] == 0
+
+
 @pytest.mark.parametrize("window", [35, 5])
 def test_substrings(spark, window):
     rng = random.Random(window)
