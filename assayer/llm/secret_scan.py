@@ -73,16 +73,22 @@ CLASSES = (
 #: A candidate has a digit and a letter and at least the window's length.
 _RANDOM = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
 CANDIDATE = Pattern(f"({_RANDOM})", 1, 20, _RANDOM)
-# Shapes and words of harmless candidates.
+# Shapes of whole candidates that are harmless.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[0-9]{4}-[0-9]{2}-[0-9]{2}",
+    r"^/",
+    r"^[A-Za-z]+([_-][A-Za-z]+)*[_-]?[0-9]{1,4}$",
+)
+#: What makes a stretch harmless but says nothing of the rest of its candidate ...
+ALLOWED_INSIDE = (
     r"(?i)example|placeholder|changeme|dummy|sample|redacted",
     r"(?i)0123456789|abcdefghij|qwertyuiop",
     r"(.)\1{5}",
-    r"^/|//|(/[A-Za-z_-]+){3}",
-    r"^[A-Za-z]+([_-][A-Za-z]+)*[_-]?[0-9]{1,4}$",
+    r"//|(/[A-Za-z_-]+){3}",
 )
+#: ... which is split here into parts that are judged one by one.
+_PARTS = r"(.)\1{5,1000}|=|//|(/[A-Za-z_-]+){3,64}"
 
 
 def _matches(text: Column, p: Pattern) -> Column:
@@ -167,15 +173,35 @@ def window_entropy(value: Column, c: CharClass) -> Column:
     return F.when(F.length(value) >= w, best).otherwise(F.lit(0.0))
 
 
-def is_random(value: Column) -> Column:
-    """True for a candidate that passes its class's bound and no allow-list entry."""
+def _high(value: Column) -> Column:
+    """True for a value that passes its class's bound."""
     verdict = F.lit(False)
     for c in reversed(CLASSES):
         verdict = F.when(value.rlike(f"^(?:{c.shape})$"), window_entropy(value, c) >= c.bits).otherwise(verdict)
-    harmless = F.lit(False)
-    for a in ALLOWED:
-        harmless = harmless | value.rlike(a)
-    return F.when(harmless, F.lit(False)).otherwise(verdict)
+    return verdict
+
+
+def _any(value: Column, patterns: tuple[str, ...]) -> Column:
+    found = F.lit(False)
+    for a in patterns:
+        found = found | value.rlike(a)
+    return found
+
+
+def is_random(value: Column) -> Column:
+    """True for a candidate that passes its class's bound and no allow-list entry.
+
+    A candidate with a harmless stretch inside passes if one of its other parts
+    does, with a digit and a letter of its own.
+    """
+    part = lambda p: F.when(
+        p.rlike(_RANDOM) & ~_any(p, (*ALLOWED, *ALLOWED_INSIDE)), _high(p)
+    ).otherwise(F.lit(False))
+    return (
+        F.when(_any(value, ALLOWED), F.lit(False))
+        .when(_any(value, ALLOWED_INSIDE), F.exists(F.split(value, _PARTS), part))
+        .otherwise(_high(value))
+    )
 
 
 def secret_spans(df: DataFrame, text: str = "text", out: str = "secrets") -> DataFrame:

@@ -167,6 +167,14 @@ def test_entropy_spans_that_base_spans_cover_in_part(spark):
     assert out[2] == ("assign:0:30", "[SECRET] b")
 
 
+def test_harmless_stretches_do_not_hide_the_rest(spark):
+    value = "Zk3Jx8Qw1Lm5Vt7Rb2YpNc9H"
+    texts = [f"a my_sample_key={value} b", f"a {value}//{value} b", f"a {value}AAAAAAAA b", f"a {value}/usr/lib/share b"]
+    texts += ["a src//main/java/org/Foo12 b", "a sample=example-Zk3Jx8Qw1Lm5Vt7Rb2Yp b", "a //cdn/ajax/lib-x1/Zk3Jx8Qw1Lm5Vt7Rb2Yp b", "a 1zzzzzzzzzzzzzzzzzzzzzzzzzzzz b"]
+    rows = redact(secret_spans(frame(spark, texts))).collect()
+    assert {r.doc_id: r.text for r in rows} == {k: "a [SECRET] b" if k < 4 else t for k, t in enumerate(texts)}
+
+
 def test_window_entropy(spark):
     import math
 
