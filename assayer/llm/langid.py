@@ -116,7 +116,7 @@ def infer(words: np.ndarray, doc: np.ndarray, rounds: int = 12) -> tuple[np.ndar
     doc = np.searchsorted(mixed, doc[inside])
     order = np.argsort(-full[mixed], axis=1, kind="stable")
     chosen, price = chosen[mixed].copy(), price[mixed]
-    for k in range(2, min(n_langs, 6) + 1):
+    for k in range(2, n_langs + 1):
         first = np.full((len(mixed), n_langs), 1e-12)
         np.put_along_axis(first, order[:, :k], 1 / k, axis=1)
         own, likelihood = _em(weight, doc, starts, first, rounds)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from assayer.llm import minhash
 from assayer.llm.components import connected_components
 from assayer.llm.embed_dedup import embedding_near_dedup, tables_for
-from assayer.llm.langid import identify, keep_identified, train
+from assayer.llm.langid import identify, infer, keep_identified, train
 from assayer.llm.minhash import near_duplicates
 from assayer.llm.quality_mil import score
 from assayer.llm.quality_mil import train as fit_quality
@@ -160,6 +160,15 @@ def test_language(spark):
     assert identify(df.limit(0), model).count() == 0
 
 
+def test_language_sets_have_no_cap():
+    """Eight languages of 80 words each, which differ little, beside two that are not there."""
+    words = np.full((640, 10), -3.0)
+    words[np.arange(640), np.arange(640) % 8] = -1.0
+    words[:, 8:] = -20.0
+    share, _ = infer(words, np.zeros(640, np.int64))
+    assert share[0] == pytest.approx([1 / 8] * 8 + [0, 0], abs=1e-3)
+
+
 def test_language_mixtures_are_kept(spark):
     rng = random.Random(12)
     kinds = {"aa": "na ta ka lo mi".split(), "bb": "ße üb sch ng ör".split(), "cc": "qu eau oi ç ez".split()}
