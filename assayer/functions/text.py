@@ -26,6 +26,8 @@ LANGUAGES = {
 }
 # Suffixes of the files that are analysed.
 CODE_SUFFIXES = (".py", ".js", ".jsx", ".ts", ".tsx", ".java", ".go", ".rs", ".cpp", ".c", ".rb", ".php", ".json")
+# Fixed value: the address of a repository, with its owner and name.
+REPOSITORY = r"^https?://github\.com/([^/]+)/([^/]+)"
 
 
 def lookup(key: Column, table: dict[str, str], default: str) -> Column:
@@ -63,12 +65,12 @@ def clean_version(version: Column) -> Column:
 
 
 def is_repository_url(url: Column) -> Column:
-    return url.rlike(r"^https?://github\.com/[^/]+/[^/]+")
+    return url.rlike(REPOSITORY)
 
 
 def repository_of(url: Column, faithful: bool = True) -> Column:
     """``owner/name``; ``.git`` goes wherever it stands, or, not faithful, at the end alone."""
-    part = lambda k: F.regexp_extract(url, r"^https?://github\.com/([^/]+)/([^/]+)", k)
+    part = lambda k: F.regexp_extract(url, REPOSITORY, k)
     name = F.replace(part(2), F.lit(".git"), F.lit("")) if faithful else F.regexp_replace(part(2), r"\.git$", "")
     return F.when(is_repository_url(url), F.concat_ws("/", part(1), name))
 
@@ -82,8 +84,47 @@ def random_id(prefix: str) -> Column:
 
 
 def utc_timestamp(value: Column) -> Column:
-    """ISO text, with or without a zone, as a timestamp; text without a zone is UTC in a UTC session."""
-    return F.try_to_timestamp(value)
+    """ISO text as a timestamp, null where it is none; text without a zone is UTC, whatever the session's zone."""
+    text = value.cast("string")
+    zoned = text.rlike(r"(Z|[+-][0-9]{2}:?[0-9]{2})$")
+    return F.try_to_timestamp(F.when(zoned, text).otherwise(F.concat(text, F.lit("Z"))))
+
+
+def expires_at(created: Column, days: int = 7) -> Column:
+    """The end of a session that starts at ``created``."""
+    return created + F.make_dt_interval(F.lit(days))
+
+
+def local_date(time: Column) -> Column:
+    """Month/day/year without leading zeros, as a US browser writes it."""
+    return F.date_format(time, "M/d/yyyy")
+
+
+def local_time(time: Column) -> Column:
+    return F.date_format(time, "h:mm:ss a")
+
+
+def local_datetime(time: Column) -> Column:
+    return F.concat_ws(", ", local_date(time), local_time(time))
+
+
+def fixed(value: Column, digits: int) -> Column:
+    """Text with so many digits after the point; ties of the shortest decimal form go up."""
+    return F.format_string(f"%.{digits}f", value.cast("double"))
+
+
+def grouped(value: Column) -> Column:
+    """A whole number with commas between thousands."""
+    return F.format_number(value, 0)
+
+
+def megabytes(size: Column) -> Column:
+    return F.concat(fixed(size / F.lit(1024.0) / F.lit(1024.0), 2), F.lit(" MB"))
+
+
+def progress(value: Column) -> Column:
+    """A bar's length from 0 to 100; null is 0."""
+    return F.least(F.coalesce(value.cast("double"), F.lit(0.0)), F.lit(100.0))
 
 
 def score_band(score: Column) -> Column:
@@ -113,7 +154,13 @@ def half_even(numerator: Column, denominator: Column, digits: int = 2) -> Column
     return (quotient + F.when(up, 1).otherwise(0)) / F.lit(float(10**digits))
 
 
-def human_bytes(n: Column) -> Column:
-    step = F.when(n < 1024, 0).when(n < 1024**2, 1).when(n < 1024**3, 2).otherwise(3)
-    unit = F.get(F.array(*[F.lit(u) for u in ("B", "KB", "MB", "GB")]), step)
-    return F.concat_ws(" ", F.round(n / F.pow(F.lit(1024.0), step), 2), unit)
+
+def string_map(json: Column, path: str) -> Column:
+    """The entries of a JSON object whose values are strings; an empty map where there is no object.
+
+    Numbers, lists, objects, booleans and nulls are values of other types and are left out.
+    """
+    found = F.from_json(F.get_json_object(json, path), "map<string,variant>")
+    text = F.map_filter(found, lambda _, v: F.schema_of_variant(v) == "STRING")
+    typed = F.transform_values(text, lambda _, v: F.try_variant_get(v, "$", "string"))
+    return F.coalesce(typed, F.create_map().cast("map<string,string>"))

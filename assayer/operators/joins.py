@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,20 +12,38 @@ def authenticate(sessions: DataFrame, users: DataFrame, now: Column | None = Non
     return sessions.where(F.col("expires_at") >= now).select("session_token", "user_id").join(users, "user_id")
 
 
-def top_risks(risks: DataFrame, n: int = 2) -> DataFrame:
-    """The n files of the highest risk; equal risks in file order."""
-    return risks.orderBy(F.desc("risk_score"), "seq").limit(n)
+def top_risks(risks: DataFrame, n: int = 2, by: tuple[str, ...] = ()) -> DataFrame:
+    """The n files of the highest risk, of all or of each group of ``by``; equal risks in file order."""
+    order = [F.desc("risk_score"), F.col("seq")]
+    if not by:
+        return risks.orderBy(*order).limit(n)
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return risks.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
 
 
-def context_files(files: DataFrame, issues: DataFrame, risks: DataFrame, n_files: int = 3, n_risks: int = 2, by_risk: bool = False) -> DataFrame:
+def risks_in_context(risks: DataFrame, n: int = 2, by: tuple[str, ...] = ()) -> DataFrame:
+    """All risks whose path is that of a top one."""
+    paths = top_risks(risks, n, by).select(*by, "path").distinct()
+    return risks.join(paths, [*by, "path"], "left_semi").select(*risks.columns)
+
+
+def context_files(
+    files: DataFrame, issues: DataFrame, risks: DataFrame, n_files: int = 3, n_risks: int = 2, by_risk: bool = False, by: tuple[str, ...] = ()
+) -> DataFrame:
     """The first files, in file order, that have an issue or one of the top risks.
 
     File order can cut a top risk; ``by_risk`` puts the top risks first instead.
+    With ``by`` the cut is made in each of its groups.
     """
-    top = top_risks(risks, n_risks).select("path", F.lit(0).alias("rank"))
-    paths = issues.select(F.col("file_path").alias("path"), F.lit(1).alias("rank")).unionByName(top).groupBy("path").agg(F.min("rank").alias("rank"))
-    order = [F.col("rank"), F.col("seq")] if by_risk else [F.col("seq")]
-    return files.join(paths, "path").orderBy(*order).limit(n_files).select(*files.columns)
+    top = top_risks(risks, n_risks, by).select(*by, "path", F.lit(0).alias("_rank"))
+    paths = issues.select(*by, F.col("file_path").alias("path"), F.lit(1).alias("_rank")).unionByName(top)
+    paths = paths.groupBy(*by, "path").agg(F.min("_rank").alias("_rank"))
+    order = [F.col("_rank"), F.col("seq")] if by_risk else [F.col("seq")]
+    found = files.join(paths, [*by, "path"])
+    if not by:
+        return found.orderBy(*order).limit(n_files).select(*files.columns)
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return found.withColumn("_place", place).where(F.col("_place") <= n_files).select(*files.columns)
 
 
 def first_fix(issues: DataFrame, fixes: DataFrame, key: str = "issue_id") -> DataFrame:
@@ -46,28 +64,30 @@ def first_containing(
     """``text_id, needle_id`` of the smallest needle that each text contains.
 
     A contained needle's words, but for its first and last, are whole words of the
-    text; so texts and needles meet on a hash of ``words`` such words in a row, and
-    containment decides. Needles with fewer inner words compare on one of them;
-    those with none are compared with every text, which is exact but not indexed.
+    text; so texts and needles meet on a hash of ``words`` such words in a row, or
+    of one where a needle has fewer. Needles without inner words meet texts on
+    their first three characters. Only ids and keys are exchanged for that; the
+    texts are joined to the distinct candidate pairs, and containment decides.
     """
     parts = F.filter(F.split(F.col(needle), r"\s+"), lambda w: w != "")
     inner = F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
     n = needles.select(F.col(needle_id).alias("_nid"), F.col(needle).alias("_needle"), inner.alias("_inner"))
     key = lambda ws, i, k: F.xxhash64(*[F.get(ws, i + j) for j in range(k)])
-    zero = F.lit(0)
-    long_, short = F.size("_inner") >= words, (F.size("_inner") > 0) & (F.size("_inner") < words)
-    first = n.where(long_ | short).withColumn("_key", F.when(long_, key(F.col("_inner"), zero, words)).otherwise(key(F.col("_inner"), zero, 1)))
+    zero, size = F.lit(0), F.size("_inner")
+    by_words = F.when(size >= words, key(F.col("_inner"), zero, words)).otherwise(key(F.col("_inner"), zero, 1))
+    keyed = n.select("_nid", (size >= words).alias("_long"), (size > 0).alias("_any"), by_words.alias("_key"), F.substring("_needle", 1, 3).alias("_start"))
     t = texts.select(F.col(text_id).alias("_tid"), F.col(text).alias("_text"))
-    tokens = F.filter(F.split("_text", r"\s+"), lambda w: w != "")
-    keyed = t.select("_tid", "_text", tokens.alias("_w"))
+    tokens = t.select("_tid", "_text", F.filter(F.split("_text", r"\s+"), lambda w: w != "").alias("_w"))
     grams = F.transform(F.sequence(zero, F.size("_w") - words), lambda i: key(F.col("_w"), i, words))
-    many = keyed.where(F.size("_w") >= words).select("_tid", "_text", F.explode(F.array_distinct(grams)).alias("_key"))
-    single = keyed.select("_tid", "_text", F.explode(F.array_distinct(F.transform("_w", lambda w: F.xxhash64(w)))).alias("_key"))
-    pairs = many.join(first.where(long_), "_key").unionByName(single.join(first.where(short), "_key"))
-    pairs = pairs.select("_tid", "_text", "_nid", "_needle")
-    bare = n.where(F.size("_inner") == 0).select("_nid", "_needle")
-    pairs = pairs.unionByName(t.join(bare, F.contains("_text", "_needle")).select("_tid", "_text", "_nid", "_needle"))
-    found = pairs.where(F.contains("_text", "_needle"))
+    many = tokens.where(F.size("_w") >= words).select("_tid", F.explode(F.array_distinct(grams)).alias("_key"))
+    single = tokens.select("_tid", F.explode(F.array_distinct(F.transform("_w", lambda w: F.xxhash64(w)))).alias("_key"))
+    starts = F.flatten(F.transform(F.sequence(F.lit(1), F.length("_text")), lambda i: F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda k: F.substring("_text", i, k))))
+    starts = F.when(F.length("_text") > 0, F.array_distinct(F.concat(F.array(F.lit("")), starts))).otherwise(F.array(F.lit("")))
+    letters = t.where("_text is not null").select("_tid", F.explode(starts).alias("_start"))
+    pairs = many.join(keyed.where("_any and _long"), "_key").select("_tid", "_nid")
+    pairs = pairs.unionByName(single.join(keyed.where("_any and not _long"), "_key").select("_tid", "_nid"))
+    pairs = pairs.unionByName(letters.join(keyed.where("not _any"), "_start").select("_tid", "_nid")).distinct()
+    found = pairs.join(t, "_tid").join(n.select("_nid", "_needle"), "_nid").where(F.contains("_text", "_needle"))
     return found.groupBy(F.col("_tid").alias(text_id)).agg(F.min("_nid").alias(needle_id))
 
 

@@ -8,7 +8,16 @@ from pyspark.sql import functions as F
 from ..functions.ast_counts import python_counts
 from ..functions.text import lines_of
 
-#: Blocks that swallow an error; case counts, white space may be Unicode.
+# Thresholds, points and messages of the signals, and the pattern of blocks that swallow an error.
+LARGE, MODERATE = (500, 20, "File is too large (>500 lines)"), (200, 10, "File is moderately large (>200 lines)")
+COMPLEX, MEDIUM = ("high", 30, "High cyclomatic complexity"), ("medium", 15)
+CROWDED = (15, 10, "Too many functions in one file")
+WIDE_LINES = (10, 10, " lines exceed 120 characters")
+WIDTH = 120
+NOTES = (5, 15, " TODO/FIXME comments found")
+NOTE_WORDS = ("TODO", "FIXME")
+HANDLERS = (0, 20, " empty exception handlers")
+HIGH_RISK, MEDIUM_RISK, MOST = 50, 25, 100
 EMPTY_HANDLER = r"(?U)except\s*:\s*pass|catch\s*\([^)]*\)\s*\{\s*\}"
 
 
@@ -28,8 +37,8 @@ def bug_risk(files: DataFrame, content: str = "content", language: str = "langua
     or for other languages, the syntax-tree signals are silent and the plan stays
     on the JVM.
     """
-    long_lines = F.size(F.filter("_lines", lambda x: F.length(x) > 120))
-    todos = F.size(F.filter("_lines", lambda x: F.contains(x, F.lit("TODO")) | F.contains(x, F.lit("FIXME"))))
+    long_lines = F.size(F.filter("_lines", lambda x: F.length(x) > WIDTH))
+    todos = F.size(F.filter("_lines", lambda x: F.contains(x, F.lit(NOTE_WORDS[0])) | F.contains(x, F.lit(NOTE_WORDS[1]))))
     out = files.withColumn("_lines", lines_of(F.col(content)))
     out = out.select(
         "*",
@@ -44,19 +53,20 @@ def bug_risk(files: DataFrame, content: str = "content", language: str = "langua
     else:
         level, functions = F.lit("unknown"), F.lit(0)
     n, wide, todo, empty = (F.col(c) for c in ("_n", "_long", "_todo", "_empty"))
+    counted = lambda c, rule: (c > rule[0], rule[1], F.concat(c.cast("string"), F.lit(rule[2])))
     signals = [
-        _signal([(n > 500, 20, F.lit("File is too large (>500 lines)")), (n > 200, 10, F.lit("File is moderately large (>200 lines)"))]),
-        _signal([(level == "high", 30, F.lit("High cyclomatic complexity")), (level == "medium", 15, None)]),
-        _signal([(functions > 15, 10, F.lit("Too many functions in one file"))]),
-        _signal([(wide > 10, 10, F.concat(wide.cast("string"), F.lit(" lines exceed 120 characters")))]),
-        _signal([(todo > 5, 15, F.concat(todo.cast("string"), F.lit(" TODO/FIXME comments found")))]),
-        _signal([(empty > 0, 20, F.concat(empty.cast("string"), F.lit(" empty exception handlers")))]),
+        _signal([(n > limit, points, F.lit(text)) for limit, points, text in (LARGE, MODERATE)]),
+        _signal([(level == COMPLEX[0], COMPLEX[1], F.lit(COMPLEX[2])), (level == MEDIUM[0], MEDIUM[1], None)]),
+        _signal([(functions > CROWDED[0], CROWDED[1], F.lit(CROWDED[2]))]),
+        _signal([counted(wide, WIDE_LINES)]),
+        _signal([counted(todo, NOTES)]),
+        _signal([counted(empty, HANDLERS)]),
     ]
     score = sum((p for p, _ in signals), F.lit(0))
     out = out.withColumn("_score", score).withColumn("issues", F.array_compact(F.array(*[m for _, m in signals])))
     return out.select(
         *[F.col(f"`{c}`") for c in files.columns],
-        F.least(F.col("_score"), F.lit(100)).cast("double").alias("risk_score"),
-        F.when(F.col("_score") > 50, "high").when(F.col("_score") > 25, "medium").otherwise("low").alias("complexity"),
+        F.least(F.col("_score"), F.lit(MOST)).cast("double").alias("risk_score"),
+        F.when(F.col("_score") > HIGH_RISK, "high").when(F.col("_score") > MEDIUM_RISK, "medium").otherwise("low").alias("complexity"),
         "issues",
     )

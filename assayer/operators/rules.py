@@ -1,12 +1,13 @@
 """The rule catalog and its evaluation over lines.
 
-Rules are data; a scan compiles them into one array of conditional structs per
-line, which explodes to a row per (line, rule) hit. There is no rules join: the
-plan is a scan, two generators and projections, all on the JVM.
+Rules are data; a scan compiles them into expressions: each rule is first tried on
+the whole text, and only texts with a match are taken apart into lines, whose hits
+explode to a row per (line, rule). There is no rules join and no Python.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -65,21 +66,50 @@ def hits(line: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return F.array_compact(F.array(*[one(r) for r in rules]))
 
 
+def may_fire(content: Column, rule: Rule) -> Column:
+    """False only for texts without a matching line.
+
+    The rule is searched in the whole text at once, where white space may cross
+    lines: a match within a line is a match there too. Patterns that look around
+    or anchor to the whole text are not searched in advance.
+    """
+    if any(x in rule.pattern for x in (r"\A", r"\Z", r"\z", r"\G", "(?")):
+        return F.lit(True)
+    return content.rlike("(?m)" + FLAGS + rule.pattern)
+
+
+def rule_findings(content: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """Issue structs of one text, by line and then in catalog order.
+
+    Lines are looked at only in texts that some rule matches, and there by the
+    rules that do.
+    """
+
+    def of_line(line: Column, at: Column) -> Column:
+        one = lambda r: F.when(
+            line.rlike(FLAGS + r.pattern),
+            F.struct(
+                F.lit(r.rule_id).alias("rule_id"),
+                F.lit(r.severity).alias("severity"),
+                F.lit(r.type).alias("type"),
+                F.concat(F.lit("Found: "), F.substring(strip(line), 1, 100)).alias("description"),
+                (at + 1).cast("long").alias("line_number"),
+                F.lit(r.recommendation).alias("recommendation"),
+            ),
+        )
+        return F.array_compact(F.array(*[one(r) for r in rules]))
+
+    found = F.flatten(F.transform(lines_of(content), of_line))
+    any_rule = reduce(Column.__or__, [may_fire(content, r) for r in rules])
+    return F.when(any_rule, found)
+
+
 def scan_rules(files: DataFrame, rules: tuple[Rule, ...] = RULES, content: str = "content", path: str = "path") -> DataFrame:
     """Findings of ``files``: its columns without the content, and the issue's fields.
 
-    Every rule runs on every file and line, whatever the language.
+    Every rule runs on every file, whatever the language. The plan is a scan,
+    projections and one generator.
     """
-    lines = explode_lines(files, content)
     rest = [F.col(f"`{c}`") for c in files.columns if c != content]
-    found = lines.select(*rest, "line_number", "line", F.explode(hits(F.col("line"), rules)).alias("_hit"))
-    return found.select(
-        *rest,
-        "_hit.rule_id",
-        "_hit.severity",
-        "_hit.type",
-        F.concat(F.lit("Found: "), F.substring(strip(F.col("line")), 1, 100)).alias("description"),
-        F.col(path).alias("file_path"),
-        "line_number",
-        "_hit.recommendation",
-    )
+    found = files.select(*rest, F.col(path).alias("file_path"), F.inline(rule_findings(F.col(content), rules)))
+    return found.select(*rest, "rule_id", "severity", "type", "description", "file_path", "line_number", "recommendation")

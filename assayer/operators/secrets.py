@@ -5,7 +5,7 @@ Its findings have no line number, one per (file, rule) with a match.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Kind, pattern, severity.
@@ -17,17 +17,23 @@ SECRET_RULES = (
 )
 
 
+def secret_findings(content: Column) -> Column:
+    """Issue structs of one text, one for each rule with a match."""
+    one = lambda kind, pattern, severity: F.when(
+        content.rlike(pattern),
+        F.struct(
+            F.lit(severity).alias("severity"),
+            F.lit(kind).alias("type"),
+            F.lit(f"Possible {kind}").alias("description"),
+            F.lit(None).cast("long").alias("line_number"),
+            F.lit("Revoke the credential and load it from the environment").alias("recommendation"),
+        ),
+    )
+    return F.array_compact(F.array(*[one(*r) for r in SECRET_RULES]))
+
+
 def scan_secrets(files: DataFrame, content: str = "content", path: str = "path") -> DataFrame:
     rest = [F.col(f"`{c}`") for c in files.columns if c != content]
-    found = F.array_compact(
-        F.array(*[F.when(F.col(content).rlike(p), F.struct(F.lit(s).alias("severity"), F.lit(k).alias("type"))) for k, p, s in SECRET_RULES])
-    )
-    return files.select(*rest, F.col(path).alias("file_path"), F.explode(found).alias("_hit")).select(
-        *rest,
-        "_hit.severity",
-        "_hit.type",
-        F.concat(F.lit("Possible "), F.col("_hit.type")).alias("description"),
-        "file_path",
-        F.lit(None).cast("long").alias("line_number"),
-        F.lit("Revoke the credential and load it from the environment").alias("recommendation"),
+    return files.select(*rest, F.col(path).alias("file_path"), F.inline(secret_findings(F.col(content)))).select(
+        *rest, "severity", "type", "description", "file_path", "line_number", "recommendation"
     )

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_ignoring_case, lookup, or_default
+from ..functions.text import (
+    contains_ignoring_case, fixed, grouped, local_date, local_datetime, lookup, or_default, progress, score_band,
+)
 from ..operators.rollup import merge_language_maps
 from ..operators.rules import SEVERITIES
 
@@ -15,14 +17,19 @@ LANGUAGE_COLOURS = {"python": "#3776AB", "javascript": "#F7DF1E", "typescript":
 OTHER_COLOUR = "#71717A"
 
 
+def public(rows: DataFrame) -> DataFrame:
+    """Without the identifier that a store may add to each document."""
+    return rows.drop("_id")
+
+
 def list_analyses(analyses: DataFrame, user_id: str, limit: int = LIST_ROWS) -> DataFrame:
     """A user's analyses, newest first; equal times by descending ``seq``."""
-    return analyses.where(F.col("user_id") == user_id).orderBy(F.desc("created_at"), F.desc("seq")).limit(limit)
+    return public(analyses).where(F.col("user_id") == user_id).orderBy(F.desc("created_at"), F.desc("seq")).limit(limit)
 
 
 def get_analysis(analyses: DataFrame, analysis_id: str, user_id: str) -> DataFrame:
     """One analysis of its owner; no row if there is none."""
-    return analyses.where((F.col("analysis_id") == analysis_id) & (F.col("user_id") == user_id)).limit(1)
+    return public(analyses).where((F.col("analysis_id") == analysis_id) & (F.col("user_id") == user_id)).limit(1)
 
 
 def search(analyses: DataFrame, query: str) -> DataFrame:
@@ -32,7 +39,7 @@ def search(analyses: DataFrame, query: str) -> DataFrame:
 
 def completed(analyses: DataFrame, user_id: str, limit: int = DASHBOARD_ROWS) -> DataFrame:
     """The rows a dashboard covers: the first completed ones in stored order (``seq``)."""
-    mine = analyses.where((F.col("user_id") == user_id) & (F.col("status") == "completed"))
+    mine = public(analyses).where((F.col("user_id") == user_id) & (F.col("status") == "completed"))
     return mine.orderBy("seq").limit(limit)
 
 
@@ -42,7 +49,7 @@ def dashboard(analyses: DataFrame, user_id: str) -> DataFrame:
     totals = rows.agg(
         F.count("*").alias("total_analyses"),
         F.coalesce(F.bround(F.avg(F.coalesce("overall_score", F.lit(0.0))), 2), F.lit(0.0)).alias("avg_score"),
-        F.coalesce(F.sum(F.coalesce(F.size("security_issues"), F.lit(0))), F.lit(0)).cast("long").alias("total_issues"),
+        F.coalesce(F.sum("n_issues"), F.lit(0)).cast("long").alias("total_issues"),
     )
     maps = merge_language_maps(rows.select("metrics.languages")).agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("language", "lines")))).alias("languages")
@@ -54,6 +61,64 @@ def recent(analyses: DataFrame, user_id: str) -> DataFrame:
     return completed(analyses, user_id, RECENT_ROWS)
 
 
+def recent_severities(analyses: DataFrame, user_id: str) -> DataFrame:
+    """``severity, n`` over the issues that the recent documents hold."""
+    return severity_histogram(recent(analyses, user_id).select(F.explode("security_issues.severity").alias("severity")))
+
+
+def recent_risks(analyses: DataFrame, user_id: str) -> DataFrame:
+    """One number: the risks of the recent documents."""
+    return recent(analyses, user_id).agg(F.coalesce(F.sum("n_risks"), F.lit(0)).alias("n_risks"))
+
+
+def cards(analyses: DataFrame) -> DataFrame:
+    """What the cards of one analysis show: counts, and the metrics as text."""
+    m = lambda name: F.col(f"metrics.{name}")
+    text = lambda value: F.coalesce(value, F.lit("0"))
+    return analyses.select(
+        "analysis_id",
+        F.coalesce("n_issues", F.lit(0)).cast("long").alias("n_issues"),
+        F.coalesce("n_risks", F.lit(0)).cast("long").alias("n_risks"),
+        fixed(F.col("overall_score"), 0).alias("score"),
+        score_band(F.col("overall_score")).alias("band"),
+        text(grouped(m("total_lines"))).alias("lines"),
+        text(fixed(m("avg_complexity"), 1)).alias("complexity"),
+        progress(m("avg_complexity")).alias("complexity_bar"),
+        F.concat(text(fixed(m("maintainability_index"), 0)), F.lit("%")).alias("maintainability"),
+        local_date(F.col("created_at")).alias("date"),
+        local_datetime(F.col("created_at")).alias("time"),
+    )
+
+
+def detail_issues(analyses: DataFrame) -> DataFrame:
+    """``analysis_id, pos``, each issue of a document and the first fix that names its file and type.
+
+    Fixes are an array of the same row, so nothing is joined or exchanged.
+    """
+    rows = analyses.select("analysis_id", "ai_fixes", F.posexplode("security_issues").alias("pos", "issue"))
+    names = lambda x: (x["issue_type"] == F.col("issue.type")) | (x["type"] == F.col("issue.type"))
+    fits = F.filter("ai_fixes", lambda x: (x["file_path"] == F.col("issue.file_path")) & names(x))
+    fix = F.get(fits, F.lit(0))
+    return rows.select("analysis_id", "pos", "issue.*", fix["explanation"].alias("fix"), fix["fix_code"].alias("fix_code"))
+
+
+def detail_risks(analyses: DataFrame) -> DataFrame:
+    """``analysis_id, place``, each risk of a document, highest first, and the first refactor of its path.
+
+    Equal risks stay in their order. A refactor belongs to a path that contains its
+    own, or is contained in it.
+    """
+    keyed = F.transform("bug_risks", lambda r, i: F.struct((-r["risk_score"]).alias("order"), i.alias("at"), r.alias("risk")))
+    rows = analyses.select("analysis_id", "ai_refactors", F.posexplode(F.array_sort(keyed)).alias("place", "r"))
+    path = F.col("r.risk.file_path")
+    fits = F.filter("ai_refactors", lambda x: F.contains(path, x["file_path"]) | F.contains(x["file_path"], path))
+    refactor = F.get(fits, F.lit(0))
+    score = F.concat(fixed(F.col("r.risk.risk_score"), 0), F.lit("%"))
+    return rows.select(
+        "analysis_id", "place", "r.risk.*", score.alias("score"), refactor["explanation"].alias("note"), refactor["refined_code"].alias("refined_code")
+    )
+
+
 def severity_histogram(severities: DataFrame, column: str = "severity", domain: tuple[str, ...] = SEVERITIES) -> DataFrame:
     """Counts by severity; the domain's are there with 0, others come as they are."""
     spark = severities.sparkSession

@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import io
+import re
+import uuid
 import zipfile
 from collections.abc import Iterator
+from pathlib import PurePosixPath
+from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.text import CODE_SUFFIXES, language_of, line_count, suffix
+from ..functions.text import CODE_SUFFIXES, REPOSITORY, language_of, line_count, suffix
 
 #: Default caps: files of a remote tree, after filtering; entries of an archive, before it.
 TREE_FILES, ARCHIVE_ENTRIES = 50, 100
+NO_REPOSITORY = "Could not access repository. Make sure it's public."
 ENTRIES = "archive string, seq long, path string, content string"
 
 
@@ -74,49 +79,64 @@ def archive_entries(archives: DataFrame, path: str = "path", content: str = "con
     return archives.select(F.col(path), F.col(content)).mapInArrow(lambda b: _entries(b, limit), ENTRIES)
 
 
+def archive_files(archives: DataFrame, path: str = "path", content: str = "content", limit: int | None = ARCHIVE_ENTRIES) -> DataFrame:
+    """``archive, seq, path, content, language, lines``: the code files among the entries, suffixes in any case."""
+    entries = archive_entries(archives, path, content, limit).where(is_code(F.col("path"), fold_case=True))
+    return entries.select("*", language_of(F.col("path")).alias("language"), line_count(F.col("content")).alias("lines"))
+
+
 def read_archive(spark: SparkSession, file: str, analysis_id: str, limit: int | None = ARCHIVE_ENTRIES) -> DataFrame:
-    """Code files of one ZIP archive; suffixes in any case."""
+    """Code files of one ZIP archive."""
     if not file.endswith(".zip"):
         raise ValueError("Only ZIP files are supported")
-    entries = archive_entries(spark.read.format("binaryFile").load(file), limit=limit)
-    return _as_files(entries.where(is_code(F.col("path"), fold_case=True)), analysis_id)
+    found = archive_files(spark.read.format("binaryFile").load(file), limit=limit)
+    return found.select(F.lit(analysis_id).alias("analysis_id"), *(c for c in found.columns if c != "archive"))
+
+
+def is_manifest(path: Column) -> Column:
+    """Paths that end with ``package.json``, whatever comes before."""
+    return path.endswith("package.json")
 
 
 def manifests(files: DataFrame) -> DataFrame:
-    """Files whose path ends with ``package.json``, as text."""
-    return files.where(F.col("path").endswith("package.json"))
+    return files.where(is_manifest(F.col("path")))
 
 
-class RemoteTree(DataSource):
-    """A repository tree behind a fetcher, one partition per file.
+class Fetcher(Protocol):
+    """Access to a host of repositories; None stands for what is missing."""
 
-    ``fetcher`` is a dotted name of a module with ``tree(owner, name, branch)`` and
-    ``raw(owner, name, branch, path)``, each returning None for what is missing;
-    without one the source is offline and says so. The branch main is tried before master.
-    """
+    def tree(self, owner: str, name: str, branch: str) -> list[dict] | None: ...
+
+    def raw(self, owner: str, name: str, branch: str, path: str) -> str | None: ...
 
-    @classmethod
-    def name(cls) -> str:
-        return "remote_tree"
 
-    def schema(self) -> str:
-        return "seq long, path string, content string"
+def remote_source(fetcher: Fetcher | None, source: str = "remote_tree") -> type[DataSource]:
+    """A data source of repository trees behind ``fetcher``, one partition per file.
 
-    def reader(self, schema) -> DataSourceReader:
-        return _RemoteReader(self.options)
+    Options: ``owner``, ``name``, ``limit`` (files after the filter). The branch main
+    is tried before master, for the tree and for each file; files that are missing
+    are skipped. The fetcher travels to the executors with the source. Register the
+    result with ``spark.dataSource.register``.
+    """
 
+    class RemoteTree(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return source
 
-class _RemoteReader(DataSourceReader):
-    def __init__(self, options) -> None:
-        self.owner, self.repo = options.get("owner"), options.get("name")
-        self.limit, self.fetcher = int(options.get("limit", TREE_FILES)), options.get("fetcher")
+        def schema(self) -> str:
+            return "seq long, path string, content string"
 
-    def _module(self):
-        import importlib
+        def reader(self, schema) -> DataSourceReader:
+            return RemoteReader(self.options, fetcher)
 
-        if not self.fetcher:
-            raise RuntimeError("remote_tree is offline: set the option fetcher")
-        return importlib.import_module(self.fetcher)
+    return RemoteTree
+
+
+class RemoteReader(DataSourceReader):
+    def __init__(self, options, fetcher: Fetcher | None) -> None:
+        self.owner, self.repo = options.get("owner"), options.get("name")
+        self.limit, self.fetcher = int(options.get("limit", TREE_FILES)), fetcher
 
     def _first(self, call, *rest):
         for branch in ("main", "master"):
@@ -125,15 +145,35 @@ class _RemoteReader(DataSourceReader):
         return None
 
     def partitions(self) -> list[InputPartition]:
-        tree = self._first(self._module().tree)
+        if self.fetcher is None:
+            raise RuntimeError("a remote tree needs a fetcher")
+        tree = self._first(self.fetcher.tree)
         if tree is None:
-            raise RuntimeError("Could not access repository")
-        ends = tuple(CODE_SUFFIXES)
-        paths = [e["path"] for e in tree if e["type"] == "blob" and e["path"].rpartition("/")[2].lstrip(".").endswith(ends)]
+            raise RuntimeError(NO_REPOSITORY)
+        paths = [e["path"] for e in tree if e["type"] == "blob" and PurePosixPath(e["path"]).suffix in CODE_SUFFIXES]
         return [InputPartition((k, p)) for k, p in enumerate(paths[: self.limit])]
 
     def read(self, partition):
         seq, path = partition.value
-        content = self._first(self._module().raw, path)
+        content = self._first(self.fetcher.raw, path)
         if content is not None:
             yield seq, path, content
+
+
+def parse_repository(url: str) -> tuple[str, str]:
+    """Owner and name of a repository address; ``.git`` goes wherever it stands in the name."""
+    if not url:
+        raise ValueError("A repository address is required")
+    found = re.match(REPOSITORY, url)
+    if not found:
+        raise ValueError("Invalid repository address")
+    return found[1], found[2].replace(".git", "")
+
+
+def read_repository(spark: SparkSession, url: str, analysis_id: str, fetcher: Fetcher, limit: int = TREE_FILES) -> DataFrame:
+    """Code files of a repository, from its address."""
+    owner, name = parse_repository(url)
+    source = f"remote_tree_{uuid.uuid4().hex}"
+    spark.dataSource.register(remote_source(fetcher, source))
+    found = spark.read.format(source).option("owner", owner).option("name", name).option("limit", str(limit)).load()
+    return _as_files(found, analysis_id)

@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 
 from assayer.operators.dependencies import declared, vulnerable
 from assayer.operators.joins import authenticate, context_files, first_containing, first_fix, first_refactor
-from assayer.plans.analysis import analyze
+from assayer.operators.secrets import scan_secrets
+from assayer.plans.analysis import analysis_tables, analyze, scan_files
+from assayer.plans.lifecycle import run_stored, stored
 from assayer.plans.serve import dashboard, get_analysis, list_analyses, report_rows, search, severity_histogram
 from assayer.schemas import ADVISORIES, ANALYSES, CODE_FILES, USERS
-from assayer.sources.code import read_archive, read_tree
+from assayer.sources.code import RemoteReader, parse_repository, read_archive, read_repository, read_tree
+from assayer.sources.scratch import scratch_dir
 from assayer.sources.store import append, as_json, delete_owned, latest, upsert_users
 
 DAY = datetime.datetime(2024, 1, 1)
@@ -135,18 +138,108 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(repr, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(repr, scan_rules(files).collect()))
 
 
-def test_remote_tree_with_a_local_fetcher(spark, tmp_path, monkeypatch):
-    from assayer.sources.code import _RemoteReader
+class _Fetcher:
+    def tree(self, owner, name, branch):
+        kinds = [("a.py", "blob"), ("a.PY", "blob"), ("d.py", "tree"), ("no.go", "blob"), (".js", "blob")]
+        return None if branch == "main" or name != "n" else [{"path": p, "type": k} for p, k in kinds]
+
+    def raw(self, owner, name, branch, path):
+        return "text" if branch == "master" and path == "a.py" else None
+
+
+def test_remote_tree_with_a_local_fetcher(spark):
+    rows = read_repository(spark, "https://github.com/o/n.git", "a1", _Fetcher()).collect()
+    assert [tuple(r) for r in rows] == [("a1", 0, "a.py", "text", "python", 1)]
+    assert parse_repository("http://github.com/o/x.github.io/tree") == ("o", "xhub.io")
+    for bad in ("not-a-url", "", "https://example.com/o/n"):
+        with pytest.raises(ValueError):
+            read_repository(spark, bad, "a1", _Fetcher())
+    for fetcher, name in ((None, "n"), (_Fetcher(), "gone")):
+        with pytest.raises(RuntimeError):
+            RemoteReader({"owner": "o", "name": name}, fetcher).partitions()
+
+
+def test_versions_that_are_not_texts_are_skipped(spark):
+    text = json.dumps({"dependencies": {"a": {"x": 1}, "b": 2.5, "c": ["1.0"], "d": True, "e": None, "f": "1.0"}, "devDependencies": [1]})
+    df = spark.createDataFrame([(text,), ('{"dependencies": "x"}',), ("[1]",), ("",), (None,)], "content string")
+    assert [(r.name, r.version) for r in declared(df).collect()] == [("f", "1.0")]
+
+
+def test_updates_of_one_address_make_one_user(spark):
+    users = spark.createDataFrame([("u1", "e1", "n", "p", DAY)], USERS)
+    day = lambda k: datetime.datetime(2024, 1, k)
+    new = [(None, "e1", "old", None, day(2)), (None, "e1", "new", None, day(3)), (None, "e2", "x", None, day(5)), (None, "e2", "y", "q", day(5)), (None, None, "z", None, day(1))]
+    rows = sorted(tuple(r)[:4] for r in upsert_users(users, spark.createDataFrame(new, USERS), F.lit("id")).collect())
+    assert rows == [("id", "e2", "y", "q"), ("u1", "e1", "new", None)]
+
+
+def test_one_scan_and_one_syntax_tree_evaluation(spark, tmp_path):
+    _files(spark).write.parquet(str(tmp_path / "f"))
+    plan = scan_files(spark.read.schema(CODE_FILES).parquet(str(tmp_path / "f")), secrets=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan and "Join" not in plan
+
+
+def test_documents_hold_the_first_findings_and_all_counts(spark, monkeypatch):
+    monkeypatch.setattr("assayer.plans.analysis.HEAD", 3)
+    files = spark.createDataFrame([("a", k, f"f{k}.js", "eval(x)\n" * 2, "javascript", 3) for k in range(5)], CODE_FILES)
+    requests = spark.createDataFrame([("a", 1, "u", "n", "zip", None, DAY)], "analysis_id string, seq long, user_id string, name string, source_type string, source_url string, created_at timestamp")
+    out = analysis_tables(files, requests)
+    row = out.documents.first()
+    assert [(i.file_path, i.line_number) for i in row.security_issues] == [("f0.js", 1), ("f0.js", 2), ("f1.js", 1)]
+    assert (row.n_issues, row.n_risks, row.overall_score, out.issues.count()) == (10, 0, 0.0, 10)
+    assert "WindowGroupLimit" in out.documents._jdf.queryExecution().executedPlan().toString()
+
+
+def test_runs_are_stored_as_versions(spark, tmp_path):
+    requests = spark.createDataFrame([("a", 1, "u", "n", "zip", None, DAY)], "analysis_id string, seq long, user_id string, name string, source_type string, source_url string, created_at timestamp")
+    good, bad = str(tmp_path / "good"), str(tmp_path / "bad")
+    assert run_stored(spark, good, requests, lambda r: analyze(_files(spark), r)) == "completed"
+    assert [(r.status, r.overall_score) for r in stored(spark, good).collect()] == [("completed", 80.0)]
+
+    def broken(_):
+        raise RuntimeError("no access")
+
+    assert run_stored(spark, bad, requests, broken) == "failed"
+    (row,) = stored(spark, bad).collect()
+    assert (row.status, row.ai_summary, row.security_issues) == ("failed", "no access", [])
+    assert sorted(r.status for r in spark.read.parquet(bad).collect()) == ["failed", "processing"]
+
+
+def test_secret_rules_of_code(spark):
+    key = "AKIA" + "ABCDEFGHIJKLMNOP"
+    rows = [("a", key), ("b", "bearer " + "x" * 20), ("c", "-----BEGIN RSA PRIVATE KEY-----"), ("d", "sk_live_" + "a1" * 12), ("e", "plain"), ("f", None)]
+    df = spark.createDataFrame(rows, "path string, content string")
+    assert {r.path: r.severity for r in scan_secrets(df).collect()} == {"a": "critical", "b": "high", "c": "critical", "d": "critical"}
+
+
+def test_needles_meet_texts_by_equality(spark):
+    df = spark.createDataFrame([(1, "a b")], "id int, x string")
+    plan = first_containing(df, df.withColumnsRenamed({"id": "t", "x": "y"}), "id", "x", "t", "y")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 5 and all("(_" in line or "=" in line for line in plan.splitlines() if "Join Inner" in line)
+
+
+def test_shared_folder_is_needed_on_a_cluster():
+    class Context:
+        master, applicationId = "spark://host:7077", "x"
+
+    class Session:
+        conf, sparkContext = {}, Context()
 
-    (tmp_path / "fetch_fixture.py").write_text(
-        "def tree(o, n, b):\n    return None if b == 'main' else [{'path': 'a.py', 'type': 'blob'}, {'path': 'a.PY', 'type': 'blob'}, {'path': 'd.py', 'type': 'tree'}]\n"
-        "def raw(o, n, b, p):\n    return 'text' if b == 'master' else None\n"
-    )
-    monkeypatch.syspath_prepend(str(tmp_path))
-    reader = _RemoteReader({"owner": "o", "name": "n", "fetcher": "fetch_fixture"})
-    assert [list(reader.read(p)) for p in reader.partitions()] == [[(0, "a.py", "text")]]
     with pytest.raises(RuntimeError):
-        _RemoteReader({}).partitions()
+        scratch_dir(Session())
+
+
+def test_windowed_counts_of_a_stream(spark, tmp_path):
+    from assayer.streaming.ingest import windowed_counts
+
+    at = lambda m: datetime.datetime(2024, 1, 1, 0, m)
+    rows = spark.createDataFrame([(at(1), "low"), (at(2), "low"), (at(7), "low"), (at(8), "high")], "time timestamp, severity string")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = windowed_counts(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), "time")
+    query = stream.writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = sorted((r.window.start.minute, r.severity, r.n) for r in spark.table("counted").collect())
+    assert got == [(0, "low", 2), (5, "high", 1), (5, "low", 1)]
 
 
 def test_broken_archives_are_skipped(spark):
