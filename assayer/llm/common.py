@@ -1,12 +1,10 @@
-"""Shared pieces of the training-data operators: scratch tables and word rules."""
+"""Shared pieces of the training-data operators: bounded batches and chunks, word rules."""
 
 from __future__ import annotations
 
 import gc
 import sys
-import tempfile
 import types
-import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -16,30 +14,31 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import discard, materialize, scratch_dir
+
+__all__ = ["bound_batches", "chunks", "discard", "fresh", "materialize", "per_process", "scratch_dir", "semi_by_id", "table"]
 #: A word is a maximal run of characters outside ASCII white space.
 WORD_SPACE = r"[\x20\x09-\x0D]+"
 #: Bytes of text that are worked on at once; a longer text is a chunk of its own.
 CHUNK = 1 << 19
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables.
-
-    It is the one named in ``spark.checkpoint.dir``; a local folder is made only
-    where that setting is absent, as in tests.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="assayer-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def bound_batches(spark: SparkSession) -> None:
     """Bounds what a Python worker is sent at once by bytes, for long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores in front as it takes not to be a column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def semi_by_id(df: DataFrame, ids: DataFrame, on: str, limit: int = 400_000) -> DataFrame:
     """Rows of ``df`` whose ``on`` is in the distinct ``ids``.
 
@@ -50,27 +49,6 @@ def semi_by_id(df: DataFrame, ids: DataFrame, on: str, limit: int = 400_000) ->
     return df.join(F.broadcast(ids) if small else ids, on, "left_semi")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to a table in the shared folder and reads it back.
-
-    This cuts the lineage; the files outlive any executor.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables of ``materialize`` that no later result reads."""
-    for t in tables:
-        spark = t.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(t._scratch)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
