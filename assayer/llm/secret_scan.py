@@ -9,7 +9,8 @@ a projection per row: no shuffle, no Python.
 
 Positions are code points, end exclusive. Regular expressions give no offsets
 in SQL, so a second pass extracts the gap before each match, and offsets are
-running sums of gap and match lengths.
+running sums of gap and match lengths. The cost grows in proportion to the text
+and its matches.
 
 Defined cases: a null text counts as empty and has no spans; texts are scanned
 whole; repeated rows are scanned one by one; an empty table gives no rows; an
@@ -24,6 +25,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import blocks_of, let, piece, running
+
 SPANS = "array<struct<start:bigint,rank:int,end:bigint>>"
 #: Kinds by rank: ties of the start are listed in this order.
 KINDS = ("assign", "access", "hex", "entropy")
@@ -70,6 +73,8 @@ CLASSES = (
         3.6,
     ),
 )
+#: Characters whose windows are looked at in one go.
+STRETCH = 512
 #: A candidate has a digit and a letter and at least the window's length.
 _RANDOM = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
 CANDIDATE = Pattern(f"({_RANDOM})", 1, 20, _RANDOM)
@@ -107,34 +112,34 @@ def _matches(text: Column, p: Pattern) -> Column:
 def _spans(text: Column, p: Pattern, rank: int, passes) -> Column:
     """Spans of the matches for which ``passes(value)`` holds; dropped matches stay consumed."""
     empty = F.array().cast(SPANS)
-    found = F.aggregate(
-        _matches(text, p),
-        F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("spans")),
-        lambda a, m: F.struct(
-            (a["at"] + F.length(m["gap"]) + F.length(m["match"])).alias("at"),
-            F.when(
-                passes(m["value"]),
-                F.concat(
-                    a["spans"],
-                    F.array(
-                        F.struct(
-                            (a["at"] + F.length(m["gap"])).alias("start"),
-                            F.lit(rank).alias("rank"),
-                            (a["at"] + F.length(m["gap"]) + F.length(m["match"])).alias("end"),
-                        )
-                    ),
-                ),
-            )
-            .otherwise(a["spans"])
-            .alias("spans"),
-        ),
-        lambda a: a["spans"],
-    )
-    return F.when(text.rlike(p.guard), found).otherwise(empty)
+
+    def placed(matches: Column) -> Column:
+        size = lambda m: (F.length(m["gap"]) + F.length(m["match"])).cast("bigint")
+        ends = running(F.transform(matches, size), lambda x, y: x + y)
+        spans = F.zip_with(
+            matches,
+            ends,
+            lambda m, end: F.when(
+                passes(m["value"]), F.struct((end - F.length(m["match"])).alias("start"), F.lit(rank).alias("rank"), end.alias("end"))
+            ),
+        )
+        return F.array_compact(spans).cast(SPANS)
+
+    return F.when(text.rlike(p.guard), let(_matches(text, p), placed)).otherwise(empty)
 
 
 def window_entropy(value: Column, c: CharClass) -> Column:
-    """The highest entropy, in bits, of any window of ``c.window`` characters.
+    """The highest entropy, in bits, of any window of ``c.window`` characters; 0 for shorter values.
+
+    Long values are cut into stretches that overlap by a window less one character.
+    """
+    ahead = lambda blocks, b, i: F.concat(b, F.substring(F.coalesce(F.get(blocks, i + 1), F.lit("")), 1, c.window - 1))
+    best = lambda blocks: F.array_max(F.transform(blocks, lambda b, i: _stretch_entropy(ahead(blocks, b, i), c)))
+    return F.when(F.length(value) <= STRETCH, _stretch_entropy(value, c)).otherwise(let(blocks_of(value, STRETCH), best))
+
+
+def _stretch_entropy(value: Column, c: CharClass) -> Column:
+    """The same for one stretch, whose counts are kept incrementally.
 
     Characters outside the alphabet count as one further symbol.
     """
@@ -211,16 +216,17 @@ def secret_spans(df: DataFrame, text: str = "text", out: str = "secrets") -> Dat
     reported already. One that is covered in part stays whole and overlaps.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    base = F.concat(
-        *[
-            _spans(t, p, KINDS.index(k), lambda v, least=p.least: F.length(v) >= least)
-            for k, p in PATTERNS.items()
-        ]
-    )
-    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in (out.lower(), "__base", "__more")]
-    df = df.select(*kept, base.alias("__base"), _spans(t, CANDIDATE, 3, is_random).alias("__more"))
-    more = F.filter("__more", lambda e: ~F.exists("__base", lambda b: (b["start"] <= e["start"]) & (e["end"] <= b["end"])))
-    return df.withColumn(out, F.array_sort(F.concat("__base", more))).drop("__base", "__more")
+    base = [_spans(t, p, KINDS.index(k), lambda v, least=p.least: F.length(v) >= least) for k, p in PATTERNS.items()]
+    found = F.array_sort(F.concat(*base, _spans(t, CANDIDATE, len(base), is_random)))
+
+    def not_covered(spans: Column) -> Column:
+        # Spans of other kinds that start no later come first: the furthest end of them decides.
+        reach = running(F.transform(spans, lambda s: F.when(s["rank"] < len(base), s["end"]).otherwise(F.lit(-1))), F.greatest)
+        kept = F.zip_with(spans, reach, lambda s, r: F.when((s["rank"] < len(base)) | (r < s["end"]), s))
+        return F.array_compact(kept)
+
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() != out.lower()]
+    return df.select(*kept, let(found, not_covered).alias(out))
 
 
 def render(spans: Column) -> Column:
@@ -230,23 +236,18 @@ def render(spans: Column) -> Column:
 
 
 def redact(df: DataFrame, text: str = "text", spans: str = "secrets", mark: str = "[SECRET]") -> DataFrame:
-    """Replaces every stretch of text under one or more spans by ``mark``."""
-    t = F.col(text)
-    cut = F.aggregate(
-        F.col(spans),
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("kept")),
-        lambda a, s: F.struct(
-            F.greatest(a["at"], s["end"]).alias("at"),
-            F.when(
-                (s["start"] >= a["at"]),
-                F.concat(
-                    a["kept"],
-                    F.array(F.substring(t, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(mark)),
-                ),
-            )
-            .otherwise(a["kept"])
-            .alias("kept"),
-        ),
-        lambda a: F.concat(F.array_join(a["kept"], ""), F.substring(t, (a["at"] + 1).cast("int"), F.length(t))),
-    )
-    return df.withColumn(text, F.when(F.size(spans) > 0, cut).otherwise(t))
+    """Replaces every stretch of text under one or more spans by ``mark``; all other columns stay."""
+    t, all_spans = F.col(text), F.col(spans)
+
+    def cut(blocks: Column) -> Column:
+        ends = running(F.transform(all_spans, lambda s: s["end"]), F.greatest)
+        before = lambda e, i: F.coalesce(F.get(e, i - 1), F.lit(0).cast("bigint"))
+        parts = lambda e: F.transform(
+            all_spans,
+            lambda s, i: F.when(
+                s["start"] >= before(e, i), F.concat(piece(blocks, before(e, i), s["start"]), F.lit(mark))
+            ).otherwise(F.lit("")),
+        )
+        return let(ends, lambda e: F.concat(F.array_join(parts(e), ""), piece(blocks, F.element_at(e, -1), F.length(t).cast("bigint"))))
+
+    return df.withColumn(text, F.when(F.size(all_spans) > 0, let(blocks_of(t), cut)).otherwise(t))
