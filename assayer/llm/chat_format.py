@@ -1,8 +1,9 @@
 """Chat formatting with Spark expressions only.
 
-Turns are collected per conversation as structs and sorted; each turn compares
-its role with its neighbours in the array, so adjacent turns of one role share
-one header and one end mark, and one ``array_join`` writes the string.
+Turns are collected per conversation as structs and sorted. Adjacent turns of one
+role are merged by array aggregation into one block, which has one header and one
+end mark, and an ``array_join`` writes the string. All of it grows in proportion
+to the number of turns and the length of their texts.
 
 Template, for a block of turns of one role::
 
@@ -27,6 +28,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import blocks_of, let, piece, running
+
 HEAD, HEAD_END, PART, TURN_END = "### ", ":\n", "</part>", "</turn>\n"
 #: Control string -> code; the backslash comes first on the way in and last on the way out.
 CODES = {"\\": "\\b", HEAD: "\\h", PART: "\\p", "</turn>": "\\t"}
@@ -56,46 +59,57 @@ def format_chats(
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
     turns = df.groupBy(F.col(conv_id).alias("conv_id")).agg(F.sort_array(F.collect_list(row)).alias("_turns"))
-    role_at = lambda i: F.get(F.col("_turns"), i)["role"]
-    pieces = F.transform(
-        "_turns",
-        lambda x, i: F.struct(
-            F.when((i > 0) & (role_at(i - 1) == x["role"]), F.lit(PART))
-            .otherwise(F.concat(F.lit(HEAD), escape(x["role"], ROLE_CODES), F.lit(HEAD_END)))
-            .alias("head"),
-            escape(x["text"]).alias("body"),
-            F.when(role_at(i + 1) == x["role"], F.lit("")).otherwise(F.lit(TURN_END)).alias("tail"),
-            (x["role"] == loss_role).alias("loss"),
-        ),
+    return turns.select("conv_id", let(_merged(F.col("_turns")), lambda blocks: _written(blocks, loss_role)).alias("_out")).select(
+        "conv_id", "_out.formatted", "_out.loss_spans"
     )
-    spans = F.aggregate(
-        F.col("_pieces"),
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans")),
-        lambda a, p: F.struct(
-            (a["at"] + F.length(p["head"]) + F.length(p["body"]) + F.length(p["tail"])).alias("at"),
-            F.when(
-                p["loss"],
-                F.concat(
-                    a["spans"],
-                    F.array(
-                        F.struct(
-                            (a["at"] + F.length(p["head"])).alias("start"),
-                            (a["at"] + F.length(p["head"]) + F.length(p["body"])).alias("end"),
-                        )
-                    ),
+
+
+def _merged(turns: Column) -> Column:
+    """Blocks of adjacent turns of one role: ``role`` and the escaped ``parts`` of their texts."""
+    role_at = lambda i: F.get(turns, i)["role"]
+    opens = F.filter(F.transform(turns, lambda x, i: F.when((i > 0) & (role_at(i - 1) == x["role"]), F.lit(-1)).otherwise(i)), lambda i: i >= 0)
+
+    def blocks(firsts: Column) -> Column:
+        end = lambda k: F.coalesce(F.get(firsts, k + 1), F.size(turns))
+        return F.transform(
+            firsts,
+            lambda i, k: F.struct(role_at(i).alias("role"), F.transform(F.slice(turns, i + 1, end(k) - i), lambda x: escape(x["text"])).alias("parts")),
+        )
+
+    return let(opens, blocks)
+
+
+def _written(blocks: Column, loss_role: str) -> Column:
+    """``formatted`` and ``loss_spans`` of merged blocks."""
+    head = lambda b: F.concat(F.lit(HEAD), escape(b["role"], ROLE_CODES), F.lit(HEAD_END))
+    text = lambda b: F.concat(head(b), F.array_join(b["parts"], PART), F.lit(TURN_END))
+    # Each part with what stands before and after it up to the next part.
+    sizes = F.flatten(
+        F.transform(
+            blocks,
+            lambda b: F.transform(
+                b["parts"],
+                lambda p, i: F.struct(
+                    F.when(i == 0, F.length(head(b))).otherwise(F.lit(0)).cast("bigint").alias("before"),
+                    F.length(p).cast("bigint").alias("size"),
+                    F.when(i == F.size(b["parts"]) - 1, len(TURN_END)).otherwise(len(PART)).cast("bigint").alias("after"),
+                    (b["role"] == loss_role).alias("loss"),
                 ),
-            )
-            .otherwise(a["spans"])
-            .alias("spans"),
-        ),
-        lambda a: a["spans"],
-    )
-    return turns.withColumn("_pieces", pieces).select(
-        "conv_id",
-        F.array_join(F.transform("_pieces", lambda p: F.concat(p["head"], p["body"], p["tail"])), "").alias("formatted"),
-        spans.alias("loss_spans"),
+            ),
+        )
     )
 
+    def spans(parts: Column) -> Column:
+        ends = running(F.transform(parts, lambda p: p["before"] + p["size"] + p["after"]), lambda x, y: x + y)
+        placed = F.zip_with(
+            parts,
+            ends,
+            lambda p, end: F.when(p["loss"], F.struct((end - p["after"] - p["size"]).alias("start"), (end - p["after"]).alias("end"))),
+        )
+        return F.array_compact(placed)
+
+    return F.struct(F.array_join(F.transform(blocks, text), "").alias("formatted"), let(sizes, spans).alias("loss_spans"))
+
 
 def parse_chats(formatted: DataFrame) -> DataFrame:
     """Reads ``formatted`` back: adds ``turns`` (role, text) and ``loss_text``."""
@@ -106,8 +120,5 @@ def parse_chats(formatted: DataFrame) -> DataFrame:
         body = F.substring(b, F.instr(b, "\n") + 1, F.length(b))
         return F.transform(F.split(body, PART), lambda p: F.struct(role.alias("role"), unescape(p).alias("text")))
 
-    loss = F.transform(
-        "loss_spans",
-        lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))),
-    )
+    loss = let(blocks_of(F.col("formatted")), lambda text: F.transform("loss_spans", lambda s: unescape(piece(text, s["start"], s["end"]))))
     return formatted.withColumn("turns", F.flatten(F.transform(blocks, block))).withColumn("loss_text", F.array_join(loss, ""))
