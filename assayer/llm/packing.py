@@ -14,6 +14,7 @@ the number of lengths and not by the number of bins.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -25,8 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialize, per_process
+from .common import bound_batches, fresh, materialize, per_process
 
+#: Longer words are encoded anew each time.
+LONGEST = 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -91,45 +94,77 @@ def _slots(bins: list[tuple[list[int], int]]) -> dict[int, tuple[np.ndarray, ...
     return {k: tuple(np.array(c, np.int64) for c in zip(*v, strict=True)) for k, v in found.items()}
 
 
+# The parts of the tokenizer file that word caching relies on.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def cacheable(path: str) -> bool:
+    """Whether the file's normaliser and pre-tokenizer are the ones that the word cache knows."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    normalizer = spec.get("normalizer") or {}
+    steps = [{k: v for k, v in step.items() if k in ("type", "pattern", "content")} for step in normalizer.get("normalizers", [])]
+    splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    first = splits[0] if splits else {}
+    known = first.get("type") == "Split" and first.get("pattern") == {"Regex": SPLIT} and first.get("behavior") == "Removed" and first.get("invert") is True
+    return steps == NORMALIZER and known and [x["type"] for x in splits[1:]] == ["ByteLevel"]
+
+
 class WordCache(dict):
-    """word -> ids as bytes, from the tokenizer's own parts; emptied when full.
+    """word -> ids as bytes, from the tokenizer's own parts; emptied when it holds ``limit`` bytes.
 
     A word without white space encodes alike wherever it stands, because the
-    pre-tokenizer drops white space and no merge crosses one.
+    pre-tokenizer drops white space and no merge crosses one. Long words are not kept.
     """
 
-    def __init__(self, tokenizer, limit: int = 250_000) -> None:
+    def __init__(self, tokenizer, limit: int = 48 << 20) -> None:
         import regex
 
-        self.limit, self.model = limit, tokenizer.model
+        self.limit, self.model, self.held = limit, tokenizer.model, 0
         self.normalizer, self.split = tokenizer.normalizer, tokenizer.pre_tokenizer
+        #: ``SPLIT`` for lower-case ASCII.
         self.plain = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
         self.parts: dict[str, bytes] = {}
 
+    def _keep(self, cache: dict[str, bytes], key: str, ids: bytes) -> None:
+        if len(key) > LONGEST:
+            return
+        if self.held > self.limit:
+            self.clear()
+            self.parts.clear()
+            self.held = 0
+        cache[key] = ids
+        self.held += 200 + 4 * len(key) + len(ids)
+
     def __missing__(self, word: str) -> bytes:
         if word.isascii() and word.isprintable():
             parts = self.plain.findall(word.lower())
         else:
             parts = [p for p, _ in self.split.pre_tokenize_str(self.normalizer.normalize_str(word))]
-        known, out = self.parts, []
+        out = []
         for p in parts:
-            ids = known.get(p)
+            ids = self.parts.get(p)
             if ids is None:
-                if len(known) >= self.limit:
-                    known.clear()
-                ids = known[p] = np.array([t.id for t in self.model.tokenize(p)], "<u4").tobytes()
+                ids = np.array([t.id for t in self.model.tokenize(p)], "<u4").tobytes()
+                self._keep(self.parts, p, ids)
             out.append(ids)
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = ids = b"".join(out)
+        ids = b"".join(out)
+        self._keep(self, word, ids)
         return ids
 
 
 def text_encoder(path: str):
-    """text -> ids as little-endian 32-bit bytes, as the library encodes without special tokens added."""
+    """text -> ids as little-endian 32-bit bytes, as the library encodes without special tokens added.
+
+    Files with another normaliser or pre-tokenizer than the known ones go through the library whole.
+    """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    whole = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    if not cacheable(path):
+        return whole
     cache = WordCache(tokenizer)
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     #: Separators that Python splits at and the tokenizer does not.
@@ -137,7 +172,7 @@ def text_encoder(path: str):
 
     def encode(text: str) -> bytes:
         if any(s in text for s in special) or any(c in text for c in odd):
-            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return whole(text)
         return b"".join(map(cache.__getitem__, text.split()))
 
     return encode
@@ -176,27 +211,28 @@ def token_pieces(df: DataFrame, tokenizer_path: str, end_id: int = 1, size: int
 def pack(pieces: DataFrame, size: int = 4096, keys: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """Adds ``sequence_id`` and ``offset``: places without gaps in sequences of at most ``size``.
 
-    ``pieces`` needs a ``length`` from 1 to ``size``; it is read more than once, so
-    pass a stored table. Pieces of one length are interchangeable: they are
-    numbered within (length, bucket), buckets are numbered by running counts, and
-    a common length is so spread over as many tasks as there are buckets. Repeated
-    rows are packed each; an empty table gives an empty result; columns named
-    ``sequence_id`` or ``offset`` are replaced.
+    ``pieces`` needs a ``length`` from 1 to ``size``. Its rows are stored with a
+    bucket each, dealt in turn, whatever they hold; pieces of one length are
+    interchangeable, so they are numbered within (length, bucket), buckets are
+    numbered by running counts, and a common length, a null id or a repeated row is
+    spread over as many tasks as there are buckets. Repeated rows and null ids are
+    packed each; an empty table gives an empty result; columns named
+    ``sequence_id`` or ``offset`` are replaced, all others are kept.
     """
     spark = pieces.sparkSession
     pieces = pieces.select(*[F.col(f"`{c}`") for c in pieces.columns if c.lower() not in ("sequence_id", "offset")])
+    bucket, rank, before, place_ = fresh(pieces, "bucket", "rank", "before", "place")
     buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    bucketed = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-    counts = bucketed.groupBy("length", "_bucket").count()
-    counts = materialize(counts, "pack-counts")
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
+    bucketed = materialize(pieces.withColumn(bucket, F.pmod(F.monotonically_increasing_id(), F.lit(buckets)).cast("int")), "pieces")
+    counts = materialize(bucketed.groupBy("length", bucket).agg(F.count("*").alias("n")), "pack-counts")
+    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     if any(not 1 <= k <= size for k in histogram):
         raise ValueError(f"lengths must be from 1 to {size}")
     slots = _slots(plan(histogram, size))
-    before = F.sum("count").over(Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    firsts = counts.select("length", "_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
-    order = Window.partitionBy("length", "_bucket").orderBy(*keys)
-    ranked = bucketed.withColumn("_rank", F.row_number().over(order) - 1).join(firsts, ["length", "_bucket"])
+    earlier = F.sum("n").over(Window.partitionBy("length").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1))
+    firsts = counts.select("length", bucket, F.coalesce(earlier, F.lit(0)).alias(before))
+    order = Window.partitionBy("length", bucket).orderBy(*keys)
+    ranked = bucketed.withColumn(rank, F.row_number().over(order) - 1).join(firsts, ["length", bucket])
     shared = spark.sparkContext.broadcast(slots)
 
     @F.pandas_udf("sequence_id long, offset long")
@@ -211,5 +247,5 @@ def pack(pieces: DataFrame, size: int = 4096, keys: tuple[str, ...] = ("doc_id",
             seq[rows], off[rows] = first[k] + r[rows] - ranks[k], at[k]
         return pd.DataFrame({"sequence_id": seq, "offset": off})
 
-    placed = ranked.withColumn("_place", place("length", F.col("_rank") + F.col("_before")))
-    return placed.select(*[F.col(f"`{c}`") for c in pieces.columns], "_place.sequence_id", "_place.offset")
+    placed = ranked.withColumn(place_, place("length", F.col(rank) + F.col(before)))
+    return placed.select(*[F.col(f"`{c}`") for c in pieces.columns], F.col(place_)["sequence_id"].alias("sequence_id"), F.col(place_)["offset"].alias("offset"))
