@@ -4,7 +4,7 @@ Encoding is exact and does not merge a text: an Aho-Corasick automaton lists the
 pieces that start at each position, the longest is tried first, and a piece is
 kept if it is compatible with the one before it, that is, if re-merging the two
 surfaces gives the same two pieces. A position from which no piece works is
-cleared in a bitfield and never tried again. Every adjacent pair being
+marked in a bitfield and never tried again. Every adjacent pair being
 compatible makes the sequence the one that merging yields.
 
 No piece of the model has a word mark after another character, or a line break,
@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,6 +61,8 @@ class Codec:
             if len(p) == 1 or self.merge(p) == [p]:
                 self.automaton.add_word(p, p)
         self.automaton.make_automaton()
+        #: The next shorter piece that a piece starts with; the empty string ends the chain.
+        self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.automaton), "") for p in self.automaton}
         self.units = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
         self.limit, self.cache, self.pairs = limit, {}, {}
         self.text_of = [
@@ -102,31 +105,37 @@ class Codec:
         return known
 
     def backtrack(self, text: str) -> list[str]:
-        """The pieces of a text whose characters all are pieces."""
+        """The pieces of a text whose characters all are pieces.
+
+        Kept for each position: the length of its longest piece (two bytes) and
+        whether it has failed (one bit).
+        """
         n = len(text)
-        starts: list[list[str]] = [[] for _ in range(n)]
-        for last, piece in self.automaton.iter(text):  # by end, so the pieces of a start come shortest first
-            starts[last + 1 - len(piece)].append(piece)
-        open_at = bytearray(b"\x01") * (n + 1)
+        longest = array("H", bytes(2 * n))
+        for last, piece in self.automaton.iter(text):
+            k = len(piece)
+            if k > longest[last + 1 - k]:
+                longest[last + 1 - k] = k
+        failed = bytearray((n >> 3) + 1)
         out: list[str] = []
-        tried: list[int] = []  # the index in starts[...] of each piece in out
-        at, k = 0, len(starts[0]) - 1 if n else 0
+        at, shorter, compatible = 0, self.shorter, self.compatible
+        piece = text[: longest[0]] if n else ""
         while at < n:
-            here, last = starts[at], out[-1] if out else None
-            while k >= 0:
-                piece = here[k]
-                if open_at[at + len(piece)] and (last is None or self.compatible(last, piece)):
+            last = out[-1] if out else None
+            while piece:
+                end = at + len(piece)
+                if not failed[end >> 3] >> (end & 7) & 1 and (last is None or compatible(last, piece)):
                     break
-                k -= 1
-            if k >= 0:
+                piece = shorter[piece]
+            if piece:
                 out.append(piece)
-                tried.append(k)
-                at += len(piece)
-                k = len(starts[at]) - 1 if at < n else 0
+                at = end
+                piece = text[at : at + longest[at]] if at < n else ""
             else:
-                open_at[at] = 0
-                at -= len(out.pop())
-                k = tried.pop() - 1
+                failed[at >> 3] |= 1 << (at & 7)
+                piece = out.pop()
+                at -= len(piece)
+                piece = shorter[piece]
         return out
 
     def unit(self, text: str) -> bytes:
