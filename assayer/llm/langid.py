@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import bound_batches, chunks
 
 BUCKETS = 1 << 16
+#: Shares that change less from one round to the next have converged; the rounds of a document end in any case.
+STILL, ROUNDS = 1e-4, 500
 UNKNOWN = "und"
 
 
@@ -79,19 +81,36 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
     return names, np.log(counts / counts.sum(0)).astype(np.float32) if names else counts.astype(np.float32)
 
 
-def _em(weight: np.ndarray, doc: np.ndarray, starts: np.ndarray, share: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions and log-likelihoods, from word likelihoods that are scaled by word."""
-    sizes = np.diff(np.append(starts, len(doc)))[:, None]
-    for _ in range(rounds):
-        joint = weight * share[doc]
+def _em(weight: np.ndarray, doc: np.ndarray, starts: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions and log-likelihoods, from word likelihoods that are scaled by word.
+
+    Rounds go on for the documents whose shares still change by more than ``STILL``.
+    """
+    share = share.copy()
+    sizes = np.diff(np.append(starts, len(doc)))
+    live, w, d, s = np.arange(len(starts)), weight, doc, starts
+    for _ in range(ROUNDS):
+        joint = w * share[live][d]
         joint /= joint.sum(1, keepdims=True)
-        share = np.add.reduceat(joint, starts, axis=0) / sizes
+        new = np.add.reduceat(joint, s, axis=0) / sizes[live][:, None]
+        moving = np.abs(new - share[live]).max(1) > STILL
+        share[live] = new
+        if not moving.any():
+            break
+        if moving.mean() < 0.7:
+            inside = moving[d]
+            w, d = w[inside], (np.cumsum(moving) - 1)[d[inside]]
+            live = live[moving]
+            s = np.flatnonzero(np.diff(d, prepend=-1))
     return share, np.add.reduceat(np.log((weight * share[doc]).sum(1)), starts)
 
 
-def infer(words: np.ndarray, doc: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
+def infer(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(language shares by document, the index of its main language).
 
+    Sets are tried by size, with the languages in the order of their shares among
+    all; any size is possible.
+
     ``words`` holds log-likelihoods by word and language, ``doc`` the documents 0,
     1, 2 ... of the words in order, none without a word.
     """
@@ -107,7 +126,7 @@ def infer(words: np.ndarray, doc: np.ndarray, rounds: int = 12) -> tuple[np.ndar
         return share, main
     price = 0.5 * np.log(np.diff(np.append(starts, len(doc))) + 1)
     chosen = single.max(1)
-    full, likelihood = _em(weight, doc, starts, np.full((n_docs, n_langs), 1 / n_langs), rounds)
+    full, likelihood = _em(weight, doc, starts, np.full((n_docs, n_langs), 1 / n_langs))
     mixed = np.flatnonzero(likelihood - price > chosen)
     if not len(mixed):
         return share, main
@@ -119,7 +138,7 @@ def infer(words: np.ndarray, doc: np.ndarray, rounds: int = 12) -> tuple[np.ndar
     for k in range(2, n_langs + 1):
         first = np.full((len(mixed), n_langs), 1e-12)
         np.put_along_axis(first, order[:, :k], 1 / k, axis=1)
-        own, likelihood = _em(weight, doc, starts, first, rounds)
+        own, likelihood = _em(weight, doc, starts, first)
         better = likelihood - price * (k - 1) > chosen
         chosen[better] = (likelihood - price * (k - 1))[better]
         share[mixed[better]] = own[better]
