@@ -5,15 +5,17 @@ a small network over its character statistics; gated attention, learned from
 document labels alone, weighs the passages, and the weighted representation is
 scored by a logistic unit.
 
-The network is fitted on the driver on at most ``SAMPLE`` labelled documents (the
-smallest by a hash of the id), each with at most ``BAG`` evenly spaced passages.
-Scoring is one pass over every passage of every whole text, without a shuffle;
-the weights are a few kilobytes.
+The network is fitted on the driver on a sample of labelled documents, each with
+all its passages: at most ``SAMPLE`` documents, the smallest by a hash of the id,
+and of these, in that order, those that fit into ``PASSAGES`` passages in all. So
+the bound is on documents, never within one. Scoring is one pass over every
+passage of every whole text, without a shuffle; the weights are a few kilobytes.
 
 Defined cases: null and empty texts are one passage of zeros; documents with
 several labels take the largest; null labels are left out; with no label, or
 labels of one kind, every score is the share of label 1 (0.5 without labels);
-repeated rows are scored each; an empty table gives no rows; other input columns
+repeated rows are scored each, and learned from each (they count as one document
+for the bound); an empty table gives no rows; other input columns
 are ignored.
 """
 
@@ -28,8 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, chunks
 
-PASSAGE, BAG, SAMPLE = 512, 64, 4000
-HIDDEN, GATES, ROUNDS = 24, 12, 400
+PASSAGE, SAMPLE, PASSAGES = 512, 4000, 100_000
+#: Fitting ends after ``ROUNDS``, or when the loss fell by less than ``STILL`` of itself in the last ``SPAN`` rounds.
+HIDDEN, GATES, ROUNDS, SPAN, STILL = 24, 12, 400, 25, 1e-3
 
 #: Byte -> class: letters without case, digits, white space, each ASCII mark, all other bytes.
 _CLASS = np.full(256, 63, np.int64)
@@ -82,7 +85,7 @@ def _forward(m: dict[str, np.ndarray], x: np.ndarray, firsts: np.ndarray) -> dic
 
 
 def fit(x: np.ndarray, firsts: np.ndarray, y: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
-    """Weights by full-batch Adam on the log-loss with a small weight decay."""
+    """Weights by full-batch Adam on the log-loss with a small weight decay, until the loss is still."""
     r = np.random.default_rng(seed)
     m = {
         "w": r.normal(0, x.shape[1] ** -0.5, (x.shape[1], HIDDEN)), "b": np.zeros(HIDDEN),
@@ -92,8 +95,12 @@ def fit(x: np.ndarray, firsts: np.ndarray, y: np.ndarray, seed: int = 7) -> dict
     fixed = {"mean": x.mean(0), "scale": x.std(0) + 1e-3}
     first, second = {k: np.zeros_like(v) for k, v in m.items()}, {k: np.zeros_like(v) for k, v in m.items()}
     xs = (x - fixed["mean"]) / fixed["scale"]
+    losses: list[float] = []
     for k in range(1, ROUNDS + 1):
         f = _forward(m | fixed, x, firsts)
+        losses.append(float(-np.log(np.clip(np.where(y == 1, f["p"], 1 - f["p"]), 1e-12, 1)).mean()))
+        if k > 2 * SPAN and min(losses[:-SPAN]) - min(losses[-SPAN:]) < STILL * min(losses):
+            break
         doc, h, t, s, e = (f[n] for n in ("doc", "h", "t", "s", "e"))
         error = (f["p"] - y) / len(y)
         dz = error[:, None] * m["c"]
@@ -120,24 +127,31 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
     known = known.groupBy(F.col(doc_id).cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    # At most SAMPLE rows of two numbers are broadcast, and about as many come back.
+    sample = texts.join(F.broadcast(known), "doc_id")
+    size = F.greatest(F.lit(1), F.ceil(F.octet_length(F.coalesce("text", F.lit(""))) / PASSAGE)).alias("size")
+    sizes = sample.select("doc_id", size).groupBy("doc_id").agg(F.sum("size").alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    chosen, total = [], 0
+    for r in sizes:
+        if total + r["size"] <= PASSAGES:
+            chosen.append((r["doc_id"],))
+            total += r["size"]
+    chosen = docs.sparkSession.createDataFrame(chosen, "doc_id long")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offsets in chunks(batch.column(0)):
                 x, firsts = passages(data, offsets)
-                bags = []
-                for bag in np.split(x, firsts[1:]):
-                    bags.append(bag[np.linspace(0, len(bag) - 1, min(BAG, len(bag))).astype(int)].tobytes())
+                bags = [bag.tobytes() for bag in np.split(x, firsts[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(1).slice(first, end - first), batch.column(2).slice(first, end - first), pa.array(bags, pa.binary())],
                     ["doc_id", "label", "bag"],
                 )
 
     bound_batches(docs.sparkSession)
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    # At most SAMPLE rows of two numbers are broadcast.
-    sample = texts.join(F.broadcast(known), "doc_id").select("text", "doc_id", "label").mapInArrow(encode, "doc_id long, label int, bag binary")
-    rows = sorted(sample.toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["bag"]))[:SAMPLE]
+    encoded = sample.join(F.broadcast(chosen), "doc_id").select("text", "doc_id", "label").mapInArrow(encode, "doc_id long, label int, bag binary")
+    rows = sorted(encoded.toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["bag"]))
     y = np.array([float(r["label"] == 1) for r in rows])
     if not 0 < y.sum() < len(y):
         return {"share": np.float32(y.mean() if len(y) else 0.5)}
