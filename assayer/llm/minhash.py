@@ -10,15 +10,20 @@ distance meet under a key. Candidates are confirmed on the full shingle sets.
 Documents with equal sets form a class and are compared once. A key's classes
 are first confirmed against its smallest class alone, which links most of a
 group of near copies with as many candidates as members. Only classes that are
-still apart under a key are compared further: those outside the key's largest
-component against all others there, as pairs where these are few, else in blocks
-that return a forest of confirmed links. So every candidate pair is either inside
-a component or confirmed itself, and no group is expanded into all its pairs.
+still apart under a key are compared further: the minor ones, outside the key's
+largest component, against all others there. Where that is little work, or the
+minor classes are few, it is done as pairs, which sizes and smallest hashes prune
+before texts are fetched. Else blocks of minor classes meet blocks of all classes,
+each bounded in classes and in shingles, and return a forest of confirmed links.
+So every candidate pair is either inside a component or confirmed itself, and no
+group is expanded into all its pairs.
 
 Defined cases: null and blank texts have no shingles and link with nothing;
 texts shorter than a shingle are one shingle; repeated rows have equal sets and
-so share a class; null ids link with nothing; an empty table gives no rows;
-other columns are ignored.
+so share a class; rows that share an id but not a set are in one component, as
+the id is one document, unless ``by_id`` is false; null ids link with nothing; an
+empty table gives no rows; other columns are ignored, or kept by
+``first_of_groups``.
 """
 
 from __future__ import annotations
@@ -31,9 +36,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, chunks, discard, materialize, semi_by_id
+from .common import bound_batches, chunks, discard, fresh, materialize
 from .components import connected_components
-from .words import mix, runs, word_hashes
+from .words import PART, all_hashes, mix, runs, word_hashes
 
 CHUNKS, SYMBOLS, ERRORS = 6, 4, 1
 SIZE = CHUNKS * SYMBOLS
@@ -41,14 +46,22 @@ SIZE = CHUNKS * SYMBOLS
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
 #: The smallest shingle hashes of a set that bound a similarity from above.
 BOTTOM = 128
-#: A key with more pairs than this to compare is worked on in blocks of documents.
-WIDE, BLOCK, STRIP = 1024, 768, 4096
+#: A key with more pairs than this to compare, and more minor classes than that, is worked on in blocks ...
+WIDE, MINOR = 1024, 4
+#: ... of about so many classes, or fewer with so many shingles in all; strips of a block's shingles are compared at once.
+BLOCK, WEIGHT, STRIP = 768, 1 << 20, 4096
+#: So many rows may be broadcast; more are joined by a shuffle.
+FEW = 400_000
 _ODD = np.random.default_rng(11).integers(0, 1 << 63, (2, SIZE), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    words, _, _, firsts = word_hashes(data, offsets, lower=True)
+    if len(offsets) == 2 and len(data) > PART:
+        words = all_hashes(data, lower=True)
+        firsts = np.array([0, len(words)])
+    else:
+        words, _, _, firsts = word_hashes(data, offsets, lower=True)
     hashed = runs(words, k)
     out = []
     for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True):
@@ -70,21 +83,31 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, shingle: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n, s1, s2, signature``: set size, a 128-bit set hash, the min-hashes."""
+    """``doc_id, row, n, s1, s2, signature``: a key of id and text, set size, a 128-bit set hash, the min-hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, offsets in chunks(batch.column(1)):
+            for first, end, data, offsets in chunks(batch.column(2)):
                 sets = shingle_sets(data, offsets, shingle)
                 n = pa.array([len(s) for s in sets], pa.int64())
                 ids = [np.array([op(mix(s ^ c)) if len(s) else 0 for s in sets], np.uint64).view(np.int64) for op, c in ((np.sum, np.uint64(1)), (np.bitwise_xor.reduce, np.uint64(2)))]
                 flat = np.concatenate([signature(s) for s in sets])
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, SIZE), pa.int32()), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), n, pa.array(ids[0]), pa.array(ids[1]), lists], ["doc_id", "n", "s1", "s2", "signature"])
+                own = [batch.column(c).slice(first, end - first) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, n, pa.array(ids[0]), pa.array(ids[1]), lists], ["doc_id", "row", "n", "s1", "s2", "signature"])
 
     bound_batches(docs.sparkSession)
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, signature array<int>")
+    return _rows(docs, doc_id, text).mapInArrow(run, "doc_id long, row long, n long, s1 long, s2 long, signature array<int>")
+
+
+def _row_key(doc_id: str, text: str) -> list[Column]:
+    i, t = F.col(doc_id).cast("long"), F.col(text).cast("string")
+    return [i, F.xxhash64(i, t)]
+
+
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    i, row = _row_key(doc_id, text)
+    return docs.select(i.alias("doc_id"), row.alias("row"), F.col(text).cast("string").alias("text"))
 
 
 def _keys(signature: str = "signature"):
@@ -109,9 +132,9 @@ def _with_bottoms(texts: DataFrame, shingle: int) -> DataFrame:
             for first, end, data, offsets in chunks(batch.column(1)):
                 least = [x[:BOTTOM].view(np.int64) ^ np.int64(-(1 << 63)) for x in shingle_sets(data, offsets, shingle)]
                 part = batch.slice(first, end - first)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(least, pa.list_(pa.int64()))], ["rep", "text", "bottom"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(least, pa.list_(pa.int64()))], ["cid", "text", "bottom"])
 
-    return texts.select("rep", "text").mapInArrow(run, "rep long, text string, bottom array<long>")
+    return texts.select("cid", "text").mapInArrow(run, "cid long, text string, bottom array<long>")
 
 
 def _may_reach(percent: int) -> Column:
@@ -159,106 +182,179 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    both = pairs.join(texts.withColumnsRenamed({"rep": "a", "text": "x"}), "a").join(texts.withColumnsRenamed({"rep": "b", "text": "y"}), "b")
+    both = pairs.join(texts.withColumnsRenamed({"cid": "a", "text": "x"}), "a").join(texts.withColumnsRenamed({"cid": "b", "text": "y"}), "b")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _block_links(pdf: pd.DataFrame, shingle: int, percent: int) -> pd.DataFrame:
-    """Confirmed links within one block of a key, or between two, as a forest.
+    """Confirmed links between a block of minor classes and a block of all classes of a key, as a forest.
 
     All intersections come from products of incidence matrices, in strips of
     shingles that two or more of the texts have.
     """
     raw = [np.frombuffer(t.encode(), np.uint8) for t in pdf["text"]]
     sets = [shingle_sets(r, np.array([0, len(r)]), shingle)[0] for r in raw]
-    n = np.array([len(x) for x in sets])
+    n, minor = np.array([len(x) for x in sets]), pdf["minor"].to_numpy(bool)
     values, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     column = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[at]
     row = np.repeat(np.arange(len(sets)), n)
     row, column = row[column >= 0], column[column >= 0]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    common = np.zeros((len(sets), len(sets)), np.float32)
+    common = np.zeros((int(minor.sum()), int((~minor).sum())), np.float32)
     width = int(column[-1]) + 1 if len(column) else 0
     for first in range(0, width, STRIP):
         a, b = np.searchsorted(column, [first, first + STRIP])
         strip = np.zeros((len(sets), min(STRIP, width - first)), np.float32)
         strip[row[a:b], column[a:b] - first] = 1
-        common += strip @ strip.T
-    close = 100 * common >= percent * (n[:, None] + n[None, :] - common)
-    part, own = pdf["part"].to_numpy(), pdf["own"].to_numpy()
-    close &= part[:, None] != part[None, :]
-    if pdf["low"].iloc[0] != pdf["high"].iloc[0]:
-        close &= own[:, None] != own[None, :]
-    linked = np.flatnonzero(close.any(1))
-    close, ids = close[np.ix_(linked, linked)], pdf["rep"].to_numpy()[linked]
-    root, last, big = ids.copy(), None, np.iinfo(np.int64).max
-    while len(ids) and (last is None or (root != last).any()):
-        last = root
-        root = np.minimum(root, np.where(close, root[None, :], big).min(1))
-    return pd.DataFrame({"a": ids, "b": root})[ids != root]
-
-
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id, kept``."""
+        common += strip[minor] @ strip[~minor].T
+    close = 100 * common >= percent * (n[minor][:, None] + n[~minor][None, :] - common)
+    part, ids = pdf["part"].to_numpy(), pdf["cid"].to_numpy()
+    close &= part[minor][:, None] != part[~minor][None, :]
+    rows, columns = np.flatnonzero(close.any(1)), np.flatnonzero(close.any(0))
+    close, a, b = close[np.ix_(rows, columns)], ids[minor][rows], ids[~minor][columns]
+    left, right, last, big = a.copy(), b.copy(), None, np.iinfo(np.int64).max
+    while len(a) and (last is None or (left != last).any()):
+        last = left
+        right = np.minimum(right, np.where(close, left[:, None], big).min(0))
+        left = np.minimum(left, np.where(close, right[None, :], big).min(1))
+    links = pd.DataFrame({"a": np.concatenate([a, b]), "b": np.concatenate([left, right])})
+    return links[links["a"] != links["b"]].drop_duplicates()
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """``rows``, to be broadcast if a count shows that they are few."""
+    return F.broadcast(rows) if rows.limit(FEW + 1).count() <= FEW else rows
+
+
+def placed_in_blocks(open_: DataFrame) -> DataFrame:
+    """``key, mb, ab, cid, part, minor``: every minor class once for each block of all classes, and the other way round."""
+    blocks = lambda n, weight: F.ceil(F.greatest(F.col(n) / BLOCK, F.col(weight) / WEIGHT)).cast("int")
+    counted = open_.withColumns({"all_blocks": blocks("total", "weight"), "minor_blocks": blocks("minors", "minor_weight")})
+    block = lambda salt, n: F.pmod(F.xxhash64("cid", F.lit(salt)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    everyone = counted.select("key", each("minor_blocks").alias("mb"), block(0, "all_blocks").alias("ab"), "cid", "part", F.lit(False).alias("minor"))
+    minor = counted.where("part <> major")
+    minor = minor.select("key", block(1, "minor_blocks").alias("mb"), each("all_blocks").alias("ab"), "cid", "part", F.lit(True).alias("minor"))
+    return everyone.unionByName(minor)
+
+
+def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", by_id: bool = True) -> DataFrame:
+    """One row per document: ``doc_id, row, n_shingles, first``.
+
+    ``first`` has the smallest ``doc_id`` of the document's group and the smallest
+    ``row``, a key of id and text, of that id there; it is null where nothing links.
+    """
     sketched = materialize(sketches(docs, shingle, doc_id, text), "sketches")
     known = sketched.where("n > 0 and doc_id is not null")
-    classes = known.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"))
-    classes = materialize(classes, "classes")
-    keyed = classes.select("rep", _keys().alias("key"))
-    centres = keyed.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("most")).where("centre < most").drop("most")
+    classes = known.groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "row")).alias("one"), F.first("signature").alias("signature"))
+    # Stored with a number each: that is what a class is called from here on.
+    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    keyed = classes.select("cid", "n", _keys().alias("key"))
+    # Key tables are stored: both sides of a join are then plain shuffles, which adaptive execution can split.
+    centres = keyed.groupBy("key").agg(F.min(F.struct("cid", "n")).alias("centre"), F.max("cid").alias("most")).where("centre.cid < most")
+    centres = materialize(centres.select("key", F.col("centre.cid").alias("centre"), F.col("centre.n").alias("nb")), "centres")
     live = materialize(keyed.join(centres, "key"), "keys")
-    ids = live.select("rep").distinct()
-    source = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).cast("string").alias("text"))
-    # An id that stands for several rows has one text of its class kept: the first in order.
-    texts = semi_by_id(source, ids, "rep").groupBy("rep").agg(F.min("text").alias("text"))
+    wanted = classes.join(live.select("cid").distinct(), "cid", "left_semi").select("one.doc_id", "one.row", "cid")
+    # Equal rows have equal keys: one of them is enough here.
+    texts = _rows(docs, doc_id, text).join(_small(wanted), ["doc_id", "row"]).groupBy("cid").agg(F.first("text").alias("text"))
     stored_texts = texts = materialize(_with_bottoms(texts, shingle), "texts")
-    sides = classes.select("rep", "n")
-    bottoms = texts.select("rep", "bottom")
-    texts = texts.select("rep", "text")
+    bottoms = texts.select("cid", "bottom")
+    texts = texts.select("cid", "text")
 
     def plausible(pairs: DataFrame) -> DataFrame:
-        """Pairs that the set sizes and the smallest hashes allow; none that is similar is lost."""
-        a, b = (sides.withColumnsRenamed({"rep": k, "n": f"n{k}"}) for k in "ab")
-        sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-        pairs = pairs.join(a, "a").join(b, "b").where(sizes).select("a", "b", "na", "nb")
-        a, b = (bottoms.withColumnsRenamed({"rep": k, "bottom": f"b{k}"}) for k in "ab")
+        """Pairs ``a, na, b, nb`` that the set sizes and the smallest hashes allow; none that is similar is lost."""
+        a, b = (bottoms.withColumnsRenamed({"cid": k, "bottom": f"b{k}"}) for k in "ab")
+        pairs = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).distinct()
         return pairs.join(a, "a").join(b, "b").where(_may_reach(percent)).select("a", "b")
 
-    stars = live.where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
+    stars = live.where("cid <> centre").select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("centre").alias("b"), "nb")
     stars = materialize(plausible(stars), "stars")
     first_links = materialize(confirm(stars, texts, shingle, percent), "linked")
     parts = connected_components(first_links)
 
     # Keys under which several components, or loose classes, meet.
-    labelled = live.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
-    sizes = labelled.groupBy("key", "part").agg(F.count("*").alias("size"))
-    major = sizes.groupBy("key").agg(
-        F.max_by("part", F.struct("size", "part")).alias("major"), F.count("*").alias("parts"), F.sum("size").alias("total"), F.max("size").alias("most")
-    )
-    open_all = open_ = materialize(labelled.join(major.where("parts > 1").drop("parts"), "key"), "open")
-    wide = (F.col("total") - F.col("most")) * F.col("total") > WIDE
-
-    # Much work under a key: blocks of its documents, compared without a row for each pair.
-    blocks = F.ceil(F.col("total") / BLOCK).cast("int")
-    placed = open_.where(wide).select("key", "rep", "part", blocks.alias("blocks"))
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("key", "rep", "part", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    in_blocks = placed.join(texts, "rep").groupBy("key", "low", "high").applyInPandas(lambda pdf: _block_links(pdf, shingle, percent), "a long, b long")
+    labelled = live.join(parts.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", "n", F.coalesce("component", "cid").alias("part"))
+    sizes = labelled.groupBy("key", "part").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
+    largest = F.max_by(F.struct("part", "size", "weight"), F.struct("size", "part")).alias("top")
+    major = sizes.groupBy("key").agg(largest, F.count("*").alias("parts"), F.sum("size").alias("total"), F.sum("weight").alias("weight")).where("parts > 1")
+    major = materialize(
+        major.select(
+            "key", F.col("top.part").alias("major"), "total", "weight", (F.col("total") - F.col("top.size")).alias("minors"),
+            (F.col("weight") - F.col("top.weight")).alias("minor_weight"),
+        ),
+        "major",
+    )
+    open_ = materialize(labelled.join(major, "key"), "open")
+    wide = (F.col("minors") * F.col("total") > WIDE) & (F.col("minors") > MINOR)
+
+    placed = placed_in_blocks(open_.where(wide)).join(texts, "cid")
+    in_blocks = placed.groupBy("key", "mb", "ab").applyInPandas(lambda pdf: _block_links(pdf, shingle, percent), "a long, b long")
     in_blocks = materialize(in_blocks, "blocks")
 
-    # Little work: its pairs.
-    open_ = open_.where(~wide).drop("total", "most")
-    minor = open_.where("part <> major").select("key", F.col("rep").alias("x"), F.col("part").alias("px"))
-    apart = (F.col("px") != F.col("part")) & ((F.col("part") == F.col("major")) | (F.col("x") < F.col("rep")))
-    more = minor.join(open_, "key").where(apart).select(F.least("x", "rep").alias("b"), F.greatest("x", "rep").alias("a")).distinct()
+    narrow = open_.where(~wide).select("key", "cid", "n", "part", "major")
+    minor = narrow.where("part <> major").select("key", F.col("cid").alias("x"), F.col("part").alias("px"), F.col("n").alias("nx"))
+    apart = (F.col("px") != F.col("part")) & ((F.col("part") == F.col("major")) | (F.col("x") < F.col("cid")))
+    more = minor.join(narrow, "key").where(apart)
+    first = F.col("x") < F.col("cid")
+    more = more.select(
+        F.greatest("x", "cid").alias("a"), F.when(first, F.col("n")).otherwise(F.col("nx")).alias("na"),
+        F.least("x", "cid").alias("b"), F.when(first, F.col("nx")).otherwise(F.col("n")).alias("nb"),
+    )
     more = materialize(plausible(more.join(stars, ["a", "b"], "left_anti")), "more")
     linked = first_links.unionByName(confirm(more, texts, shingle, percent)).unionByName(in_blocks)
-    parts = connected_components(linked).withColumnRenamed("node", "rep")
-    discard(live, stars, more, open_all, in_blocks, stored_texts)
+    if by_id:
+        linked = linked.unionByName(_same_id(known, classes))
+    parts = connected_components(linked).withColumnRenamed("node", "cid")
+    discard(live, centres, stars, more, major, open_, in_blocks, stored_texts)
+
+    grouped = classes.join(parts, "cid").select("n", "s1", "s2", "component", "one")
+    firsts = materialize(grouped.groupBy("component").agg(F.min("one").alias("first")), "firsts")
+    linked_classes = materialize(grouped.join(firsts, "component").select("n", "s1", "s2", "first"), "groups")
+    alone = classes.join(parts, "cid", "left_anti").select("n", "s1", "s2", F.col("one").alias("first"))
+    named = materialize(linked_classes.unionByName(alone), "named")
+    rows = sketched.select("doc_id", "row", "n", "s1", "s2")
+    out = rows.join(named, ["n", "s1", "s2"], "left")
+    return out.select("doc_id", "row", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("first")).alias("first"))
+
+
+def _same_id(known: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the classes of an id that has several."""
+    sets = F.struct("n", "s1", "s2")
+    several = known.groupBy("doc_id").agg(F.min(sets).alias("lo"), F.max(sets).alias("hi")).where("lo <> hi").select("doc_id")
+    several = materialize(several, "several-sets")
+    rows = known.select("doc_id", "n", "s1", "s2").join(_small(several), "doc_id", "left_semi")
+    rows = rows.join(classes.select("n", "s1", "s2", "cid"), ["n", "s1", "s2"]).select("doc_id", "cid").distinct()
+    least = rows.groupBy("doc_id").agg(F.min("cid").alias("b"))
+    return rows.join(least, "doc_id").where("cid <> b").select(F.col("cid").alias("a"), "b")
+
 
-    classes = classes.join(parts, "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
-    out = sketched.join(classes, ["n", "s1", "s2"], "left")
-    component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: ``doc_id, n_shingles, component_id, kept``."""
+    out = near_groups(docs, shingle, percent, doc_id, text)
+    component = F.coalesce("first.doc_id", "doc_id")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def first_of_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows, with all their columns, of which one stays for each group of near duplicates.
+
+    It is that with the smallest id, then the smallest key of id and text; of rows
+    equal in both, the smallest as JSON. Rows that share an id but not a text are
+    judged apart. Rows that link with nothing stay.
+    """
+    found = near_groups(docs, shingle, percent, doc_id, text, by_id=False)
+    i, k = fresh(docs, "id", "row")
+    stays = F.col("first").isNull() | (F.col("first") == F.struct("doc_id", "row"))
+    found = materialize(found.select(F.col("doc_id").alias(i), F.col("row").alias(k), stays.alias("stays"), (F.col("n_shingles") > 0).alias("linkable")), "verdict")
+    gone = found.where("not stays").select(i, k).distinct()
+    twice = found.where(F.col("stays") & F.col("linkable") & F.col(i).isNotNull()).groupBy(i, k).agg(F.count("*").alias("c")).where("c > 1").select(i, k)
+    twice = materialize(twice, "twice")
+    own, row = _row_key(doc_id, text)
+    rows = docs.select("*", own.alias(i), row.alias(k)).join(_small(gone), [i, k], "left_anti")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    if not twice.limit(1).count():
+        return rows.select(*names)
+    whole = F.struct(*names)
+    once = rows.join(_small(twice), [i, k], "left_semi").groupBy(i, k).agg(F.min_by(whole, F.to_json(whole)).alias("one"))
+    return rows.join(_small(twice), [i, k], "left_anti").select(*names).unionByName(once.select(*[F.col("one")[c].alias(c) for c in docs.columns]))

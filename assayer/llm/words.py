@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
+#: Bytes of one text that are worked on at once.
+PART = 1 << 22
 _RANDOM = np.random.default_rng(20240607)
 #: A random number for each byte, and multipliers for positions.
 _BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_OTHER = np.random.default_rng(977).integers(1, 1 << 63, 256, dtype=np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -26,10 +31,15 @@ def powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values, np.cumsum(lengths) - lengths) if len(lengths) else np.zeros(0, np.uint64)
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool, second: bool = False) -> tuple[np.ndarray, ...]:
     """(hash, first byte, end byte of each word, first word of each document and the end).
 
     Words are runs of bytes that are not ASCII white space, within one document.
+    ``second`` adds a hash of another kind, independent of the first.
     """
     if lower:
         data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
@@ -43,9 +53,34 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.
     at = np.flatnonzero(solid)
     lengths = np.diff(np.append(np.searchsorted(at, starts), len(at)))
     place = np.arange(len(at)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    values = _BYTE[data[at]] * powers(int(lengths.max()) if len(lengths) else 1)[place]
-    h = np.add.reduceat(values, np.cumsum(lengths) - lengths) if len(starts) else np.zeros(0, np.uint64)
-    return mix(h + lengths.astype(np.uint64)), starts, starts + lengths, np.searchsorted(starts, offsets)
+    letters, n = data[at], lengths.astype(np.uint64)
+    h = mix(_sums(_BYTE[letters] * powers(int(lengths.max()) if len(lengths) else 1)[place], lengths) + n)
+    out = (h, starts, starts + lengths, np.searchsorted(starts, offsets))
+    if second:
+        # A number for each byte and place, summed: no algebra between places.
+        out += (mix(_sums(mix(_OTHER[letters] ^ (place.astype(np.uint64) * _C2)), lengths) ^ n),)
+    return out
+
+
+def parts(data: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Byte ranges of about ``PART`` that cover a text and end where a word ends."""
+    at, n = 0, len(data)
+    while at < n or at == 0:
+        end = min(n, at + PART)
+        while end < n and not _SPACE[data[end]]:
+            ahead = np.flatnonzero(_SPACE[data[end : end + PART]])
+            end = end + int(ahead[0]) if len(ahead) else min(n, end + PART)
+        yield at, end
+        if end == n:
+            return
+        at = end
+
+
+def all_hashes(data: np.ndarray, lower: bool, second: bool = False) -> np.ndarray:
+    """The hashes, or with ``second`` the other hashes, of a text's words, computed part by part."""
+    pick = 4 if second else 0
+    found = [word_hashes(data[a:b], np.array([0, b - a]), lower, second)[pick] for a, b in parts(data)]
+    return found[0] if len(found) == 1 else np.concatenate(found)
 
 
 def runs(words: np.ndarray, k: int) -> np.ndarray:
