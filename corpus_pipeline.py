@@ -10,9 +10,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm.common import materialize, semi_by_id, table
+from assayer.llm.common import fresh, materialize, table
 from assayer.llm.langid import keep_identified, train
-from assayer.llm.minhash import near_duplicates
+from assayer.llm.minhash import first_of_groups
 from assayer.llm.packing import pack, token_pieces
 from assayer.llm.secret_scan import redact, secret_spans
 from assayer.llm.substring import remove_repeats
@@ -26,40 +26,54 @@ def _resized(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts in which no language is found; identified mixtures stay."""
+    """Drops texts in which no language is found; identified mixtures stay.
+
+    That is, texts that are null or hold no letter, and all texts where no row has a
+    language to learn from. Repeated rows and null ids are judged each; an empty
+    table stays empty; all columns are kept.
+    """
     return keep_identified(docs, train(docs))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each near-duplicate group.
+    """Keeps one document of each near-duplicate group: that with the smallest id.
 
-    Five-word shingles, similarity 0.8. Of rows that share an id, one stays.
+    Five-word shingles, similarity 0.8. Documents without words, without an id or
+    without a near duplicate stay; rows that share an id but not a text are judged
+    apart, and of equal rows one stays. An empty table stays empty; all columns are
+    kept, maps and names of this stage included.
     """
-    verdict = materialize(near_duplicates(docs, shingle=5, percent=80).select("doc_id", "kept"), "verdict")
-    gone = verdict.where("not kept").select("doc_id").distinct()
-    twice = verdict.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    few = gone.limit(400_001).count() <= 400_000
-    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
-    if twice.limit(1).count():
-        rows = semi_by_id(kept, twice, "doc_id").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row"))
-        kept = kept.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(rows.select("row.*"))
-    return kept
+    return first_of_groups(docs, shingle=5, percent=80)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts stretches of 35 words or more that also occur elsewhere."""
+    """Cuts stretches of 35 words or more that also occur elsewhere, in any row.
+
+    Documents stay, cut to an empty text if need be. Null texts stay null; repeated
+    rows count as occurrences of each other; null ids are allowed; an empty table
+    stays empty; all columns are kept, and ``n_chars`` follows the text.
+    """
     return _resized(remove_repeats(docs, window=35, text_only=True))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets by a mark."""
-    return _resized(redact(secret_spans(docs, out="__secrets"), spans="__secrets").select(docs.columns))
+    """Replaces every secret by a mark.
+
+    Null and empty texts stay as they are; repeated rows and null ids are scanned
+    each; an empty table stays empty; all columns are kept, and ``n_chars`` follows
+    the text.
+    """
+    (spans,) = fresh(docs, "secrets")
+    return _resized(redact(secret_spans(docs, out=spans), spans=spans).drop(spans))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the tokens of all documents into sequences of 4096."""
-    pieces = token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
-    return pack(materialize(pieces.drop("ids"), "pieces"))
+    """Packs the tokens of all documents into sequences of 4096: one row per piece.
+
+    Null text is empty: one token. Repeated rows and null ids are packed each; an
+    empty table gives no rows; columns other than id and text are not needed.
+    """
+    return pack(token_pieces(docs, public_tokenizers.path("word_bpe_49k.json")).drop("ids"))
 
 
 STAGES = [
