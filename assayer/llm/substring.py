@@ -21,9 +21,12 @@ ninth as many rows as words are exchanged.
    windows, which are counted by name and by a hash of all their words.
 4. The repeated windows go back to their documents, which drop covered words.
 
-Names and window hashes together are 128 bits. A frequent passage is one
-segment with a count, summed before the shuffle; nothing is gathered but the
-segments of one document.
+Names come from one hash of each word, the keys of segments and windows from
+another that is independent of it, so windows are told apart by 128 bits. A
+frequent passage is one segment with a count, summed before the shuffle; nothing
+is gathered but the segments of one document. A long text is worked on in parts
+that overlap by a window less one word: anchors depend on a window's own words
+alone, so the parts find what the whole would.
 
 Defined cases: null and blank texts have no words; texts shorter than a window
 keep all words; repeated rows count as occurrences; null ids are allowed; an
@@ -40,8 +43,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, chunks, discard, materialize
-from .words import mix, word_hashes
+from .common import bound_batches, chunks, discard, fresh, materialize
+from .words import PART, all_hashes, mix, parts, word_hashes
 
 #: Naming rounds after the words themselves: runs first, then pairs.
 ROUNDS = 6
@@ -100,18 +103,21 @@ def _rounds(words: np.ndarray, doc: np.ndarray) -> list[tuple[np.ndarray, np.nda
     return [*out, (start, name, start, start)]
 
 
-def segments(words: np.ndarray, firsts: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """(first window, number of windows, name, key) of all segments of some documents."""
+def segments(words: np.ndarray, other: np.ndarray, firsts: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """(first window, number of windows, name, key) of all segments of some documents.
+
+    Names come from ``words``, keys from the ``other`` hashes of the same words.
+    """
     doc = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
     rounds = _rounds(words, doc)
-    stretch = Stretches(words)
+    plain, stretch = Stretches(words), Stretches(other)
     last = firsts[1:][doc]
     all_windows = np.flatnonzero(np.arange(len(words)) + window <= last)
     out = []
     for at in range(0, len(all_windows), BLOCK):
         p = all_windows[at : at + BLOCK]
         level, anchor = np.zeros(len(p), np.int64), p.copy()
-        name = stretch.of(p, p + window)
+        name = plain.of(p, p + window)
         low, high = p, p + window  # the determined symbols of this round, as indexes
         for k in range(ROUNDS):
             start, _, read, first = rounds[k]
@@ -153,18 +159,40 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.xxhash64(i, t).alias("k1"), F.coalesce(i, F.lit(-1)).alias("k2"), t.alias("text"))
 
 
+def _overlapping(data: np.ndarray, window: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(index of the first word, hashes, other hashes) of the parts of a long text, a window less one word in common."""
+    at, index, size = 0, 0, PART
+    while True:
+        end = at + next(e for _, e in parts(data[at:]) if e >= min(size, len(data) - at))
+        words, start, _, _, other = word_hashes(data[at:end], np.array([0, end - at]), lower=False, second=True)
+        if end < len(data) and len(words) < 2 * window:  # words of huge length
+            size *= 2
+            continue
+        yield index, words, other
+        if end == len(data):
+            return
+        index += len(words) - window + 1
+        at += int(start[len(words) - window + 1])
+
+
 def _find_segments(docs: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, _, data, offsets in chunks(batch.column(2)):
-                words, _, _, firsts = word_hashes(data, offsets, lower=False)
-                begin, n, name, key = segments(words, firsts, window)
-                doc = np.searchsorted(firsts, begin, "right") - 1
-                k1, k2 = (batch.column(c).to_numpy()[row + doc] for c in (0, 1))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c) for c in (k1, k2, (begin - firsts[doc]).astype(np.int32), n.astype(np.int32), name.view(np.int64), key.view(np.int64))],
-                    ["k1", "k2", "at", "n", "name", "key"],
-                )
+                if len(offsets) == 2 and len(data) > PART:
+                    found = ((i, w, o, np.array([0, len(w)])) for i, w, o in _overlapping(data, window))
+                else:
+                    words, _, _, firsts, other = word_hashes(data, offsets, lower=False, second=True)
+                    found = iter([(0, words, other, firsts)])
+                for index, words, other, firsts in found:
+                    begin, n, name, key = segments(words, other, firsts, window)
+                    doc = np.searchsorted(firsts, begin, "right") - 1
+                    k1, k2 = (batch.column(c).to_numpy()[row + doc] for c in (0, 1))
+                    at = (begin - firsts[doc] + index).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c) for c in (k1, k2, at, n.astype(np.int32), name.view(np.int64), key.view(np.int64))],
+                        ["k1", "k2", "at", "n", "name", "key"],
+                    )
 
     return docs.mapInArrow(run, "k1 long, k2 long, at int, n int, name long, key long")
 
@@ -172,20 +200,37 @@ def _find_segments(docs: DataFrame, window: int) -> DataFrame:
 def _list_windows(texts: DataFrame, window: int) -> DataFrame:
     """One row per window of the listed segments: ``name, key, offset, hash, copies``."""
 
+    def rows(words: np.ndarray, found: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Windows of segments ``name, key, copies, n, at``, in order of ``at``, some at a time."""
+        ends = found[4] + found[3] + window - 1
+        first = 0
+        while first < found.shape[1]:
+            low = found[4][first]
+            last = max(first + 1, int(np.searchsorted(found[4], low + BLOCK)))
+            last = min(last, first + max(1, int(np.searchsorted(np.cumsum(found[3][first:]), BLOCK))))
+            name, key, copies, n, at = found[:, first:last]
+            stretch = Stretches(words[low : ends[first:last].max()])
+            offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            p = np.repeat(at, n) + offset - low
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c) for c in (np.repeat(name, n), np.repeat(key, n), offset.astype(np.int32), stretch.of(p, p + window).view(np.int64), np.repeat(copies, n))],
+                ["name", "key", "offset", "hash", "copies"],
+            )
+            first = last
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1).to_pylist()
+            lists = batch.column(1)
+            starts, flat = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten()
+            table = np.stack([flat.field(c).to_numpy().astype(np.int64) for c in ("name", "key", "copies", "n", "at")])
             for row, end, data, offsets in chunks(batch.column(0)):
-                words, _, _, firsts = word_hashes(data, offsets, lower=False)
-                stretch = Stretches(words)
-                found = [(s["name"], s["key"], s["copies"], s["n"], s["at"] + f) for k, f in zip(range(row, end), firsts.tolist(), strict=False) for s in lists[k]]
-                name, key, copies, n, at = (np.array(c, np.int64) for c in zip(*found, strict=True))
-                offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                p = np.repeat(at, n) + offset
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c) for c in (np.repeat(name, n), np.repeat(key, n), offset.astype(np.int32), stretch.of(p, p + window).view(np.int64), np.repeat(copies, n))],
-                    ["name", "key", "offset", "hash", "copies"],
-                )
+                if len(offsets) == 2:
+                    words, firsts = all_hashes(data, lower=False, second=True), np.zeros(1, np.int64)
+                else:
+                    _, _, _, firsts, words = word_hashes(data, offsets, lower=False, second=True)
+                found = table[:, starts[row] : starts[end]].copy()
+                found[4] += np.repeat(firsts[: end - row], np.diff(starts[row : end + 1]))
+                yield from rows(words, found[:, np.argsort(found[4], kind="stable")])
 
     return texts.mapInArrow(run, "name long, key long, offset int, hash long, copies long")
 
@@ -243,11 +288,12 @@ def remove_repeats(docs: DataFrame, window: int = 35, doc_id: str = "doc_id", te
     keyed = _keyed(docs, doc_id, text)
     spans = repeated_windows(keyed, window)
     t, i = F.col(text).cast("string"), F.col(doc_id).cast("long")
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(i, t).alias("__k1"), F.coalesce(i, F.lit(-1)).alias("__k2"))
-    spans = spans.withColumnsRenamed({"k1": "__k1", "k2": "__k2", "spans": "__spans"})
-    hit, rest = _matching(rows, spans.select("__k1", "__k2"))
-    both = hit.join(spans, ["__k1", "__k2"]).unionByName(rest.withColumn("__spans", F.lit(None).cast(spans.schema["__spans"].dataType)))
-    both = both.select(*[F.col(f"`{c}`") for c in names], "__spans")
+    k1, k2, marked = fresh(docs, "k1", "k2", "spans")
+    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(i, t).alias(k1), F.coalesce(i, F.lit(-1)).alias(k2))
+    spans = spans.withColumnsRenamed({"k1": k1, "k2": k2, "spans": marked})
+    hit, rest = _matching(rows, spans.select(k1, k2))
+    both = hit.join(spans, [k1, k2]).unionByName(rest.withColumn(marked, F.lit(None).cast(spans.schema[marked].dataType)))
+    both = both.select(*[F.col(f"`{c}`") for c in names], marked)
     at = names.index(text)
     out_names = [doc_id] if words_only else names
     schema = ", ".join([*(f"`{c}` {both.schema[c].dataType.simpleString()}" for c in out_names), *([] if text_only else ["n_words long, n_removed long, kept_sha256 string"])])
@@ -256,25 +302,13 @@ def remove_repeats(docs: DataFrame, window: int = 35, doc_id: str = "doc_id", te
         for batch in batches:
             texts, n_words, n_removed, digests = [], [], [], []
             for value, found in zip(batch.column(at), batch.column(len(names)), strict=True):
-                t = value.as_py()
-                raw = (t or "").encode()
-                words = raw.split()
-                removed = 0
-                if found.is_valid:
-                    cover = np.zeros(len(words) + 1, np.int64)
-                    for s in found.as_py():
-                        first = s["at"] + (np.arange(s["n"]) if s["offsets"] is None else np.array(s["offsets"]))
-                        np.add.at(cover, first, 1)
-                        np.add.at(cover, first + window, -1)
-                    keep = np.cumsum(cover)[:-1] == 0
-                    removed = int(len(words) - keep.sum())
-                    if not words_only:
-                        t = _without(raw, keep).decode()
-                    words = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
-                texts.append(t)
-                n_words.append(len(words) + removed)
+                covered = _covered(found.as_py(), window) if found.is_valid else None
+                raw = value.as_buffer() if value.is_valid else pa.py_buffer(b"")
+                n, removed, digest, kept = _kept(raw, covered, want_text=not words_only)
+                texts.append(None if words_only else value.as_py() if covered is None else kept.decode())
+                n_words.append(n)
                 n_removed.append(removed)
-                digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
+                digests.append(digest)
             kept = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(names)) if names[k] in out_names]
             counts = [] if text_only else [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())]
             yield pa.RecordBatch.from_arrays([*kept, *counts], [*out_names, *added[: len(counts)]])
@@ -282,13 +316,45 @@ def remove_repeats(docs: DataFrame, window: int = 35, doc_id: str = "doc_id", te
     return both.mapInArrow(run, schema)
 
 
-def _without(raw: bytes, keep: np.ndarray) -> bytes:
-    """``raw`` without its words that are not kept and the white space after them."""
+def _covered(spans: list[dict], window: int) -> list[tuple[int, int]]:
+    """Ranges of words under repeated windows, apart and in order."""
+    first = np.concatenate([s["at"] + (np.arange(s["n"]) if s["offsets"] is None else np.array(s["offsets"])) for s in spans])
+    first.sort()
+    opens = np.flatnonzero(np.diff(first, prepend=first[0] - window - 1) > window)
+    last = np.append(first[opens[1:] - 1], first[-1])
+    return list(zip(first[opens].tolist(), (last + window).tolist(), strict=True))
+
+
+def _kept(raw: pa.Buffer, covered: list[tuple[int, int]] | None, want_text: bool) -> tuple[int, int, str, bytes]:
+    """(words, removed words, digest of the kept words joined by a space, text without the removed words).
+
+    A removed word goes with the white space after it. The text is read in parts.
+    """
+    digest, before, removed, some, out = hashlib.sha256(), 0, 0, False, []
+    data = np.frombuffer(raw, np.uint8)
+    for a, b in parts(data):
+        piece = data[a:b].tobytes()
+        words = piece.split()
+        here = [(max(x - before, 0), min(y - before, len(words))) for x, y in covered or () if x < before + len(words) and y > before]
+        if here:
+            gone = sum(y - x for x, y in here)
+            edges = [0, *(e for xy in here for e in xy), len(words)]
+            stay = [(x, y) for x, y in zip(edges[0::2], edges[1::2], strict=True) if x < y]
+            if want_text:
+                out.append(_without(piece, stay))
+            words = [w for x, y in stay for w in words[x:y]]
+            removed, before = removed + gone, before + gone
+        elif want_text and covered is not None:
+            out.append(piece)
+        before += len(words)
+        if words:
+            digest.update((b" " if some else b"") + b" ".join(words))
+            some = True
+    return before, removed, digest.hexdigest(), b"".join(out)
+
+
+def _without(raw: bytes, stay: list[tuple[int, int]]) -> bytes:
+    """``raw`` with the ranges of its words that stay, and the white space after each word."""
     _, start, _, _ = word_hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), lower=False)
     edges = np.append(start, len(raw))
-    parts, turn = [raw[: edges[0]]], np.flatnonzero(np.diff(keep.astype(np.int8))) + 1
-    bounds = [0, *turn.tolist(), len(keep)]
-    for a, b in zip(bounds, bounds[1:], strict=False):
-        if b > a and keep[a]:
-            parts.append(raw[edges[a] : edges[b]])
-    return b"".join(parts)
+    return b"".join([raw[: edges[0]], *(raw[edges[x] : edges[y]] for x, y in stay)])
