@@ -38,9 +38,9 @@ def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
     return F.when(F.size(values) > 0, let(values, of)).otherwise(F.slice(values, 1, 0))
 
 
-def blocks_of(text: Column, size: int = CHARS) -> Column:
-    """The text in blocks of ``size`` code points, the last one shorter."""
-    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+def blocks_of(text: Column, size: int | None = None) -> Column:
+    """The text in blocks of ``size`` (``CHARS`` for ``piece``) code points, the last one shorter."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size or CHARS}}}"), F.lit(0))
 
 
 def piece(blocks: Column, start: Column, end: Column) -> Column:
