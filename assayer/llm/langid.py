@@ -22,7 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, chunks
+from .common import bound_batches, chunks, fresh
+from .words import PART, parts
 
 BUCKETS = 1 << 16
 #: Shares that change less from one round to the next have converged; the rounds of a document end in any case.
@@ -49,6 +50,15 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return code.astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)[at], before[at] == 32
 
 
+def _in_parts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Several texts as they are, a long one in parts that end between words."""
+    if len(offsets) > 2 or len(data) <= PART:
+        yield data, offsets
+    else:
+        for a, b in parts(data):
+            yield data[a:b], np.array([0, b - a])
+
+
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
     """(languages, log-probabilities by bucket and language) from all rows with a language."""
 
@@ -57,12 +67,13 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
         for batch in batches:
             names = batch.column(1).to_pylist()
             for first, end, data, offsets in chunks(batch.column(0), lower=True):
-                code, doc, _ = trigrams(data, offsets)
                 kinds = sorted(set(names[first:end]))
                 rank = np.array([kinds.index(x) for x in names[first:end]])
-                found = np.bincount(rank[doc] * BUCKETS + code, minlength=len(kinds) * BUCKETS).reshape(-1, BUCKETS)
-                for k, row in zip(kinds, found, strict=True):
-                    sums[k] = sums.get(k, 0) + row
+                for data, offsets in _in_parts(data, offsets):
+                    code, doc, _ = trigrams(data, offsets)
+                    found = np.bincount(rank[doc] * BUCKETS + code, minlength=len(kinds) * BUCKETS).reshape(-1, BUCKETS)
+                    for k, row in zip(kinds, found, strict=True):
+                        sums[k] = sums.get(k, 0) + row
         for k, row in sums.items():
             at = np.flatnonzero(row)
             yield pa.RecordBatch.from_arrays(
@@ -81,17 +92,17 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
     return names, np.log(counts / counts.sum(0)).astype(np.float32) if names else counts.astype(np.float32)
 
 
-def _em(weight: np.ndarray, doc: np.ndarray, starts: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions and log-likelihoods, from word likelihoods that are scaled by word.
+def _em(weight: np.ndarray, count: np.ndarray, doc: np.ndarray, starts: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions and log-likelihoods, from word likelihoods that are scaled by word, and the words' counts.
 
     Rounds go on for the documents whose shares still change by more than ``STILL``.
     """
     share = share.copy()
-    sizes = np.diff(np.append(starts, len(doc)))
-    live, w, d, s = np.arange(len(starts)), weight, doc, starts
+    sizes = np.add.reduceat(count, starts)
+    live, w, c, d, s = np.arange(len(starts)), weight, count[:, None], doc, starts
     for _ in range(ROUNDS):
         joint = w * share[live][d]
-        joint /= joint.sum(1, keepdims=True)
+        joint *= c / joint.sum(1, keepdims=True)
         new = np.add.reduceat(joint, s, axis=0) / sizes[live][:, None]
         moving = np.abs(new - share[live]).max(1) > STILL
         share[live] = new
@@ -99,52 +110,70 @@ def _em(weight: np.ndarray, doc: np.ndarray, starts: np.ndarray, share: np.ndarr
             break
         if moving.mean() < 0.7:
             inside = moving[d]
-            w, d = w[inside], (np.cumsum(moving) - 1)[d[inside]]
+            w, c, d = w[inside], c[inside], (np.cumsum(moving) - 1)[d[inside]]
             live = live[moving]
             s = np.flatnonzero(np.diff(d, prepend=-1))
-    return share, np.add.reduceat(np.log((weight * share[doc]).sum(1)), starts)
+    return share, np.add.reduceat(count * np.log((weight * share[doc]).sum(1)), starts)
 
 
-def infer(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def infer(words: np.ndarray, doc: np.ndarray, count: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(language shares by document, the index of its main language).
 
-    Sets are tried by size, with the languages in the order of their shares among
-    all; any size is possible.
-
     ``words`` holds log-likelihoods by word and language, ``doc`` the documents 0,
-    1, 2 ... of the words in order, none without a word.
+    1, 2 ... of the words in order, none without a word, ``count`` how often each
+    word stands there. Sets are tried by size, with the languages in the order of
+    their shares among all; any size is possible.
     """
+    count = np.ones(len(doc)) if count is None else count
     starts = np.flatnonzero(np.diff(doc, prepend=-1))
     n_docs, n_langs = len(starts), words.shape[1]
-    best = words.max(1, keepdims=True)
-    weight = np.exp(np.maximum(words - best, -30.0))
-    single = np.add.reduceat(np.maximum(words - best, -30.0), starts, axis=0)
+    scaled = np.maximum(words - words.max(1, keepdims=True), -30.0)
+    weight = np.exp(scaled)
+    single = np.add.reduceat(scaled * count[:, None], starts, axis=0)
     main = single.argmax(1)
     share = np.zeros((n_docs, n_langs))
     share[np.arange(n_docs), main] = 1
     if n_langs == 1:
         return share, main
-    price = 0.5 * np.log(np.diff(np.append(starts, len(doc))) + 1)
+    price = 0.5 * np.log(np.add.reduceat(count, starts) + 1)
     chosen = single.max(1)
-    full, likelihood = _em(weight, doc, starts, np.full((n_docs, n_langs), 1 / n_langs))
+    full, likelihood = _em(weight, count, doc, starts, np.full((n_docs, n_langs), 1 / n_langs))
     mixed = np.flatnonzero(likelihood - price > chosen)
     if not len(mixed):
         return share, main
     inside = np.isin(doc, mixed)
-    weight, starts = weight[inside], np.flatnonzero(np.diff(doc[inside], prepend=-1))
+    weight, count, starts = weight[inside], count[inside], np.flatnonzero(np.diff(doc[inside], prepend=-1))
     doc = np.searchsorted(mixed, doc[inside])
     order = np.argsort(-full[mixed], axis=1, kind="stable")
     chosen, price = chosen[mixed].copy(), price[mixed]
     for k in range(2, n_langs + 1):
-        first = np.full((len(mixed), n_langs), 1e-12)
+        first = np.zeros((len(mixed), n_langs))
         np.put_along_axis(first, order[:, :k], 1 / k, axis=1)
-        own, likelihood = _em(weight, doc, starts, first)
+        own, likelihood = _em(weight, count, doc, starts, first)
         better = likelihood - price * (k - 1) > chosen
         chosen[better] = (likelihood - price * (k - 1))[better]
         share[mixed[better]] = own[better]
     return share, share.argmax(1)
 
 
+def word_likelihoods(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """(log-likelihoods by word and language, document of each word, counts); equal words of a long text are one with a count."""
+
+    def of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        code, doc, opens = trigrams(data, offsets)
+        at = np.flatnonzero(opens)
+        return (np.add.reduceat(table[code], at, axis=0) if len(at) else np.zeros((0, table.shape[1]), table.dtype)), doc[at]
+
+    if len(offsets) > 2 or len(data) <= PART:
+        return *of(data, offsets), None
+    rows, counts = np.zeros((0, table.shape[1]), table.dtype), np.zeros(0)
+    for piece in _in_parts(data, offsets):
+        more = of(*piece)[0]
+        rows, at = np.unique(np.concatenate([rows, more]), axis=0, return_inverse=True)
+        counts = np.bincount(at.ravel(), np.concatenate([counts, np.ones(len(more))]), len(rows))
+    return rows, np.zeros(len(rows), np.int64), counts
+
+
 def _identified(text: pa.Array, has_letter: pa.Array, model: tuple[list[str], np.ndarray]) -> Iterator[tuple[int, int, list[str], np.ndarray, list[str]]]:
     """(first row, end row, main language, its share, all languages) by chunk."""
     names, table = model
@@ -152,12 +181,10 @@ def _identified(text: pa.Array, has_letter: pa.Array, model: tuple[list[str], np
     for first, end, data, offsets in chunks(text, lower=True):
         n = end - first
         lang, score, sets = [UNKNOWN] * n, np.zeros(n), [""] * n
-        code, doc, opens = trigrams(data, offsets)
-        if len(code) and names:
-            at = np.flatnonzero(opens)
-            words = np.add.reduceat(table[code], at, axis=0)
-            rows, dense = np.unique(doc[at], return_inverse=True)
-            share, main = infer(words.astype(np.float64), dense)
+        words, doc, count = word_likelihoods(data, offsets, table)
+        if len(words) and names:
+            rows, dense = np.unique(doc, return_inverse=True)
+            share, main = infer(words.astype(np.float64), dense, count)
             for r, s, m in zip(rows.tolist(), share, main.tolist(), strict=True):
                 if ok[first + r]:
                     lang[r], score[r] = names[m], min(1.0, float(s[m]))
@@ -196,5 +223,5 @@ def keep_identified(docs: DataFrame, model: tuple[list[str], np.ndarray], text:
                 yield pa.RecordBatch.from_arrays(part.columns[:n], part.schema.names[:n])
 
     bound_batches(docs.sparkSession)
-    flagged = docs.select("*", F.col(text).rlike(r"\p{L}").alias("_has_letter"))
+    flagged = docs.select("*", F.col(text).rlike(r"\p{L}").alias(*fresh(docs, "has_letter")))
     return flagged.mapInArrow(run, docs.schema)
