@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, chunks
+from .words import PART
 
 PASSAGE, SAMPLE, PASSAGES = 512, 4000, 100_000
 #: Fitting ends after ``ROUNDS``, or when the loss fell by less than ``STILL`` of itself in the last ``SPAN`` rounds.
@@ -49,23 +50,31 @@ FEATURES = 64 + 5
 
 
 def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(statistics by passage, first passage of each document)."""
+    """(statistics by passage, first passage of each document); a passage is judged by its own bytes alone."""
+    if len(offsets) == 2 and len(data) > PART:
+        found = [_passages(data[a : a + PART], np.array([0, min(PART, len(data) - a)]))[0] for a in range(0, len(data), PART)]
+        return np.concatenate(found), np.zeros(1, np.int64)
+    return _passages(data, offsets)
+
+
+def _passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.diff(offsets)
     n = np.maximum(1, -(-sizes // PASSAGE))
     firsts = np.concatenate([[0], np.cumsum(n)])
     total = int(firsts[-1])
     at = np.arange(len(data)) - np.repeat(offsets[:-1], sizes)
     bag = np.repeat(firsts[:-1], sizes) + at // PASSAGE
+    inside = at % PASSAGE
     kind = _CLASS[data]
     x = np.bincount(bag * 64 + kind, minlength=total * 64).reshape(total, 64).astype(np.float32)
     upper = np.bincount(bag, _UPPER[data], total)
-    opens = np.concatenate([[True], (kind[:-1] == 27) | (kind[:-1] == 28)])[: len(kind)] & (kind != 27) & (kind != 28)
+    blank = (kind == 27) | (kind == 28)
+    opens = ~blank & ((inside == 0) | np.concatenate([[True], blank[:-1]])[: len(kind)])
     words = np.bincount(bag, opens, total)
-    # Bytes equal to the one 2, and 1, before them; distinct pairs against all pairs: repetition.
-    same = np.bincount(bag[2:], data[2:] == data[:-2], total) if len(data) > 2 else np.zeros(total)
-    pair = (kind[:-1] * 64 + kind[1:]) if len(kind) else kind
-    seen = np.unique(bag[:-1] * 4096 + pair) >> 12 if len(kind) else pair
-    distinct = np.bincount(seen, minlength=total)[:total]
+    # Bytes equal to the one two before them; distinct pairs against all pairs: repetition.
+    same = np.bincount(bag[2:], (data[2:] == data[:-2]) & (inside[2:] > 1), total)
+    pair = (bag[1:] * 4096 + kind[:-1] * 64 + kind[1:])[inside[1:] > 0]
+    distinct = np.bincount(np.unique(pair) >> 12, minlength=total)
     length = np.maximum(1, x.sum(1))
     extra = np.stack(
         [upper / np.maximum(1, x[:, :26].sum(1)), x[:, :26].sum(1) / np.maximum(1, words) / 10, same / length, distinct / length, length / PASSAGE], 1
