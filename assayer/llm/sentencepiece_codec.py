@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import bound_batches, per_process
 
 MARK = "▁"
+#: Characters of one text that are taken apart at once.
+PART = 1 << 20
 NORMAL, CONTROL, BYTE = 1, 3, 6
 
 
@@ -64,6 +66,8 @@ class Codec:
         #: The next shorter piece that a piece starts with; the empty string ends the chain.
         self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.automaton), "") for p in self.automaton}
         self.units = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
+        #: The last character of a stretch, where another begins.
+        self.edges = re.compile(f"[^{MARK}](?={MARK})|\n")
         self.limit, self.cache, self.pairs = limit, {}, {}
         self.text_of = [
             p if k == NORMAL else "" if k in (CONTROL, BYTE) else model.trainer_spec.unk_surface
@@ -164,10 +168,22 @@ class Codec:
                 self.cache[text] = found
         return found
 
+    def _parts(self, text: str) -> Iterator[str]:
+        """A text in parts of about ``PART`` characters that end where a stretch does."""
+        at = 0
+        while len(text) - at > PART:
+            end = self.edges.search(text, at + PART)
+            if end is None:
+                break
+            yield text[at : end.start() + 1]
+            at = end.start() + 1
+        yield text[at:] if at else text
+
     def encode(self, text: str, begin: bool = True, end: bool = True) -> bytes:
         out = [np.array([self.begin], "<u4").tobytes()] if begin else []
         if text:
-            out += map(self.__getitem__, self.units.findall((self.prefix + text).replace(" ", MARK)))
+            for part in self._parts((self.prefix + text).replace(" ", MARK)):
+                out.append(b"".join(map(self.__getitem__, self.units.findall(part))))
         if end:
             out.append(np.array([self.end], "<u4").tobytes())
         return b"".join(out)
