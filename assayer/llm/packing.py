@@ -15,6 +15,7 @@ the number of lengths and not by the number of bins.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, fresh, materialize, per_process
 
-#: Longer words are encoded anew each time.
-LONGEST = 64
+#: Longer words are encoded anew each time; so many characters of a text are split at once.
+LONGEST, PART = 64, 1 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -173,11 +174,22 @@ def text_encoder(path: str):
     def encode(text: str) -> bytes:
         if any(s in text for s in special) or any(c in text for c in odd):
             return whole(text)
-        return b"".join(map(cache.__getitem__, text.split()))
+        if len(text) <= PART:
+            return b"".join(map(cache.__getitem__, text.split()))
+        return b"".join(b"".join(map(cache.__getitem__, part.split())) for part in _parts(text))
 
     return encode
 
 
+def _parts(text: str) -> Iterator[str]:
+    """A long text in parts that end where white space begins."""
+    at, space = 0, re.compile(r"\s")
+    while len(text) - at > PART and (found := space.search(text, at + PART)):
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:]
+
+
 def token_pieces(df: DataFrame, tokenizer_path: str, end_id: int = 1, size: int = 4096, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32`` and the ``ids`` themselves.
 
