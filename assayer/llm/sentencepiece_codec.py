@@ -19,8 +19,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +34,21 @@ PART = 1 << 20
 NORMAL, CONTROL, BYTE = 1, 3, 6
 
 
+class Stretches(dict):
+    """stretch -> its ids; long stretches are not kept, and all go when there are ``limit``."""
+
+    def __init__(self, encode: Callable[[str], bytes], limit: int) -> None:
+        self.encode, self.limit = encode, limit
+
+    def __missing__(self, text: str) -> bytes:
+        found = self.encode(text)
+        if len(text) <= 48:
+            if len(self) >= self.limit:
+                self.clear()
+            self[text] = found
+        return found
+
+
 class Codec:
     """Encoder and decoder for one model file; it holds no text but its cache."""
 
@@ -68,7 +82,7 @@ class Codec:
         self.units = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
         #: The last character of a stretch, where another begins.
         self.edges = re.compile(f"[^{MARK}](?={MARK})|\n")
-        self.limit, self.cache, self.pairs = limit, {}, {}
+        self.limit, self.cache, self.pairs = limit, Stretches(self.unit, limit), {}
         self.text_of = [
             p if k == NORMAL else "" if k in (CONTROL, BYTE) else model.trainer_spec.unk_surface
             for p, k in zip(self.pieces, self.kinds, strict=True)
@@ -111,34 +125,39 @@ class Codec:
     def backtrack(self, text: str) -> list[str]:
         """The pieces of a text whose characters all are pieces.
 
-        Kept for each position: the length of its longest piece (two bytes) and
-        whether it has failed (one bit).
+        Kept for each position: its longest piece (a reference) and whether it has
+        failed (one bit).
         """
+        if text in self.shorter:
+            return [text]
         n = len(text)
-        longest = array("H", bytes(2 * n))
-        for last, piece in self.automaton.iter(text):
-            k = len(piece)
-            if k > longest[last + 1 - k]:
-                longest[last + 1 - k] = k
-        failed = bytearray((n >> 3) + 1)
+        longest = [""] * (n + 1)
+        for last, piece in self.automaton.iter(text):  # by end, so the longest of a start comes last
+            longest[last + 1 - len(piece)] = piece
+        failed, failures = bytearray((n >> 3) + 1), 0
         out: list[str] = []
-        at, shorter, compatible = 0, self.shorter, self.compatible
-        piece = text[: longest[0]] if n else ""
+        at, last, shorter, pairs, compatible = 0, None, self.shorter, self.pairs, self.compatible
+        piece = longest[0]
         while at < n:
-            last = out[-1] if out else None
             while piece:
                 end = at + len(piece)
-                if not failed[end >> 3] >> (end & 7) & 1 and (last is None or compatible(last, piece)):
-                    break
+                if not (failures and failed[end >> 3] >> (end & 7) & 1):
+                    if last is None:
+                        break
+                    fits = pairs.get((last, piece))
+                    if fits or (fits is None and compatible(last, piece)):
+                        break
                 piece = shorter[piece]
             if piece:
                 out.append(piece)
-                at = end
-                piece = text[at : at + longest[at]] if at < n else ""
+                at, last = end, piece
+                piece = longest[at]
             else:
                 failed[at >> 3] |= 1 << (at & 7)
+                failures += 1
                 piece = out.pop()
                 at -= len(piece)
+                last = out[-1] if out else None
                 piece = shorter[piece]
         return out
 
@@ -158,16 +177,6 @@ class Codec:
             ids += [self.ids[p]] if p in self.ids else [self.bytes[b] for b in p.encode()]
         return np.array(ids, "<u4").tobytes()
 
-    def __getitem__(self, text: str) -> bytes:
-        found = self.cache.get(text)
-        if found is None:
-            found = self.unit(text)
-            if len(text) <= 48:
-                if len(self.cache) >= self.limit:
-                    self.cache.clear()
-                self.cache[text] = found
-        return found
-
     def _parts(self, text: str) -> Iterator[str]:
         """A text in parts of about ``PART`` characters that end where a stretch does."""
         at = 0
@@ -183,7 +192,7 @@ class Codec:
         out = [np.array([self.begin], "<u4").tobytes()] if begin else []
         if text:
             for part in self._parts((self.prefix + text).replace(" ", MARK)):
-                out.append(b"".join(map(self.__getitem__, self.units.findall(part))))
+                out.append(b"".join(map(self.cache.__getitem__, self.units.findall(part))))
         if end:
             out.append(np.array([self.end], "<u4").tobytes())
         return b"".join(out)
