@@ -77,8 +77,9 @@ class Stretches:
 def _rounds(words: np.ndarray, doc: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """By round: first word and name of each symbol, and how it was read by the next round.
 
-    The last two tell, for each symbol, the next round's symbol that holds it (a
-    run) or whether it is a left one (a pair round).
+    The third tells, for each symbol, the next round's symbol that holds it (a run)
+    or whether it is a left one (a pair round); the last how many of the next
+    round's symbols open before it.
     """
     start, name, out = np.arange(len(words)), words, []
     for k in range(ROUNDS):
@@ -98,7 +99,7 @@ def _rounds(words: np.ndarray, doc: np.ndarray) -> list[tuple[np.ndarray, np.nda
             pair[:-1] = joined[1:]
             after = np.append(name[1:], np.uint64(0))
             new = np.where(pair, mix(name * np.uint64(5) + mix(after + np.uint64(77))), name)[first]
-        out.append((start, name, read, first))
+        out.append((start, name, read, np.concatenate([[0], np.cumsum(~joined)])))
         start, name = start[first], new
     return [*out, (start, name, start, start)]
 
@@ -118,28 +119,36 @@ def segments(words: np.ndarray, other: np.ndarray, firsts: np.ndarray, window: i
         p = all_windows[at : at + BLOCK]
         level, anchor = np.zeros(len(p), np.int64), p.copy()
         name = plain.of(p, p + window)
-        low, high = p, p + window  # the determined symbols of this round, as indexes
+        low, high, ranges = p, p + window, []  # the determined symbols of each round, as indexes
         for k in range(ROUNDS):
-            start, _, read, first = rounds[k]
+            _, _, read, opened = rounds[k]
             fine = low < high
             lo, hi = np.where(fine, low, 0), np.where(fine, high, 1)
             if k == 0:  # the runs at either end may go on outside
                 low, high = read[lo] + 1, read[hi - 1]
             else:  # a right symbol at the start, or a left one at the end, may belong to a pair outside
-                edge = np.searchsorted(first, np.stack([lo + ~read[lo], hi - read[hi - 1]]))
-                low, high = edge[0], edge[1]
+                low, high = opened[lo + ~read[lo]], opened[hi - read[hi - 1]]
             low, high = np.where(fine, low, 0), np.where(fine, high, 0)
-            there = np.flatnonzero(low < high)
-            if not len(there):
+            some = low < high
+            if not some.any():
                 break
+            level[some] = k + 1
+            ranges.append((low, high))
+        # The anchor comes from the highest round that determines any symbol.
+        for k, (low, high) in enumerate(ranges):
+            there = np.flatnonzero(level == k + 1)
+            if not len(there):
+                continue
             names = rounds[k + 1][1]
             order = mix(names + np.uint64(9))
             a, b = low[there], high[there]
-            best = a.copy()
+            best, least = a, order[a]
             for step in range(1, int((b - a).max())):
-                other = np.minimum(a + step, b - 1)
-                best = np.where(order[other] < order[best], other, best)
-            level[there], anchor[there], name[there] = k + 1, rounds[k + 1][0][best], names[best]
+                at_step = np.minimum(a + step, b - 1)
+                value = order[at_step]
+                less = value < least
+                best, least = np.where(less, at_step, best), np.where(less, value, least)
+            anchor[there], name[there] = rounds[k + 1][0][best], names[best]
         opens = np.ones(len(p), bool)
         opens[1:] = (level[1:] != level[:-1]) | (anchor[1:] != anchor[:-1]) | (p[1:] != p[:-1] + 1) | (level[1:] == 0)
         head = np.flatnonzero(opens)

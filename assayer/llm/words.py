@@ -14,6 +14,7 @@ _BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.u
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _OTHER = np.random.default_rng(977).integers(1, 1 << 63, 256, dtype=np.uint64)
+_PLACE = np.random.default_rng(978).integers(0, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -57,8 +58,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool, second: bool
     h = mix(_sums(_BYTE[letters] * powers(int(lengths.max()) if len(lengths) else 1)[place], lengths) + n)
     out = (h, starts, starts + lengths, np.searchsorted(starts, offsets))
     if second:
-        # A number for each byte and place, summed: no algebra between places.
-        out += (mix(_sums(mix(_OTHER[letters] ^ (place.astype(np.uint64) * _C2)), lengths) ^ n),)
+        # A random factor for each place, so there is no algebra between places.
+        factor = _PLACE[place & 4095]
+        if len(lengths) and lengths.max() > 4096:
+            factor ^= mix((place >> 12).astype(np.uint64)) & ~np.uint64(1)
+        out += (mix(_sums(_OTHER[letters] * factor, lengths) ^ n),)
     return out
 
 
