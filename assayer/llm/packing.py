@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -95,13 +96,13 @@ def _slots(bins: list[tuple[list[int], int]]) -> dict[int, tuple[np.ndarray, ...
     return {k: tuple(np.array(c, np.int64) for c in zip(*v, strict=True)) for k, v in found.items()}
 
 
-# The parts of the tokenizer file that word caching relies on.
+# The parts of the tokenizer file that caching relies on.
 NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def cacheable(path: str) -> bool:
-    """Whether the file's normaliser and pre-tokenizer are the ones that the word cache knows."""
+    """Whether the file's normaliser and pre-tokenizer are the ones that the cache knows."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     normalizer = spec.get("normalizer") or {}
@@ -112,46 +113,46 @@ def cacheable(path: str) -> bool:
     return steps == NORMALIZER and known and [x["type"] for x in splits[1:]] == ["ByteLevel"]
 
 
-class WordCache(dict):
-    """word -> ids as bytes, from the tokenizer's own parts; emptied when it holds ``limit`` bytes.
+#: Letters beyond ASCII that are one code point in normal form and whose lower case is one letter too.
+LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+#: What is encoded on its own: whole words that hold any other character, else the parts of ``SPLIT`` in either case.
+UNITS = re.compile(
+    rf"(?<!\S)(?=\S*[^\x21-\x7e\s{LATIN}])\S+|'[sS]|'[tT]|'[rR][eE]|'[vV][eE]|'[mM]|'[lL][lL]|'[dD]|[A-Za-z{LATIN}]+|[0-9]|[^\sA-Za-z0-9{LATIN}]+"
+)
+_PLAIN = re.compile(rf"[\x21-\x7e{LATIN}]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in the model: printable Latin-1 as it is, the others from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(256 + k) for k, b in enumerate(rest)}
 
-    A word without white space encodes alike wherever it stands, because the
-    pre-tokenizer drops white space and no merge crosses one. Long words are not kept.
-    """
 
-    def __init__(self, tokenizer, limit: int = 48 << 20) -> None:
-        import regex
+class UnitCache(dict):
+    """unit -> ids as bytes, from the tokenizer's own parts; emptied when it holds ``limit`` bytes.
 
+    A unit encodes alike wherever it stands, because the pre-tokenizer cuts there
+    and no merge crosses a cut. Long units are not kept.
+    """
+
+    def __init__(self, tokenizer, limit: int = 120 << 20) -> None:
         self.limit, self.model, self.held = limit, tokenizer.model, 0
-        self.normalizer, self.split = tokenizer.normalizer, tokenizer.pre_tokenizer
-        #: ``SPLIT`` for lower-case ASCII.
-        self.plain = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-        self.parts: dict[str, bytes] = {}
-
-    def _keep(self, cache: dict[str, bytes], key: str, ids: bytes) -> None:
-        if len(key) > LONGEST:
-            return
-        if self.held > self.limit:
-            self.clear()
-            self.parts.clear()
-            self.held = 0
-        cache[key] = ids
-        self.held += 200 + 4 * len(key) + len(ids)
-
-    def __missing__(self, word: str) -> bytes:
-        if word.isascii() and word.isprintable():
-            parts = self.plain.findall(word.lower())
+        self.normalizer, self.split, self.letters = tokenizer.normalizer, tokenizer.pre_tokenizer, _byte_letters()
+
+    def __missing__(self, unit: str) -> bytes:
+        if _PLAIN.fullmatch(unit):
+            tokens = self.model.tokenize(unit.lower().encode().decode("latin-1").translate(self.letters))
         else:
-            parts = [p for p, _ in self.split.pre_tokenize_str(self.normalizer.normalize_str(word))]
-        out = []
-        for p in parts:
-            ids = self.parts.get(p)
-            if ids is None:
-                ids = np.array([t.id for t in self.model.tokenize(p)], "<u4").tobytes()
-                self._keep(self.parts, p, ids)
-            out.append(ids)
-        ids = b"".join(out)
-        self._keep(self, word, ids)
+            parts = self.split.pre_tokenize_str(self.normalizer.normalize_str(unit))
+            tokens = [t for p, _ in parts for t in self.model.tokenize(p)]
+        ids = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        if len(unit) <= LONGEST:
+            if self.held > self.limit:
+                self.clear()
+                self.held = 0
+            self[unit] = ids
+            self.held += 200 + 2 * len(unit) + len(ids)
         return ids
 
 
@@ -166,7 +167,7 @@ def text_encoder(path: str):
     whole = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
     if not cacheable(path):
         return whole
-    cache = WordCache(tokenizer)
+    cache = UnitCache(tokenizer)
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     #: Separators that Python splits at and the tokenizer does not.
     odd = [chr(c) for c in range(0x1C, 0x20)]
@@ -175,8 +176,8 @@ def text_encoder(path: str):
         if any(s in text for s in special) or any(c in text for c in odd):
             return whole(text)
         if len(text) <= PART:
-            return b"".join(map(cache.__getitem__, text.split()))
-        return b"".join(b"".join(map(cache.__getitem__, part.split())) for part in _parts(text))
+            return b"".join(map(cache.__getitem__, UNITS.findall(text)))
+        return b"".join(b"".join(map(cache.__getitem__, UNITS.findall(part))) for part in _parts(text))
 
     return encode
 
