@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,15 +36,21 @@ NORMAL, CONTROL, BYTE = 1, 3, 6
 
 
 class Stretches(dict):
-    """stretch -> its ids; long stretches are not kept, and all go when there are ``limit``."""
+    """stretch -> its ids, in two generations: when the younger is full it becomes the elder, whose unused entries go.
+
+    Long stretches are not kept.
+    """
 
     def __init__(self, encode: Callable[[str], bytes], limit: int) -> None:
-        self.encode, self.limit = encode, limit
+        self.encode, self.limit, self.elder = encode, limit // 2, {}
 
     def __missing__(self, text: str) -> bytes:
-        found = self.encode(text)
+        found = self.elder.get(text)
+        if found is None:
+            found = self.encode(text)
         if len(text) <= 48:
             if len(self) >= self.limit:
+                self.elder = dict(self)
                 self.clear()
             self[text] = found
         return found
@@ -52,7 +59,8 @@ class Stretches(dict):
 class Codec:
     """Encoder and decoder for one model file; it holds no text but its cache."""
 
-    def __init__(self, path: str, limit: int = 400_000) -> None:
+    def __init__(self, path: str, stretches: int = 1_200_000, limit: int = 400_000) -> None:
+        """``stretches`` and ``limit`` (of piece pairs) bound the caches: some 300 and 60 MB."""
         import ahocorasick
         from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -72,17 +80,18 @@ class Codec:
         self.begin, self.end = model.trainer_spec.bos_id, model.trainer_spec.eos_id
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.ids):
             raise ValueError("pieces must not go beyond a word mark or a line break")
+        self.letters = {p for p in self.ids if len(p) == 1}
         self.automaton = ahocorasick.Automaton()
         for p in self.ids:
             if len(p) == 1 or self.merge(p) == [p]:
-                self.automaton.add_word(p, p)
+                self.automaton.add_word(p, (len(p) - 1, p))
         self.automaton.make_automaton()
         #: The next shorter piece that a piece starts with; the empty string ends the chain.
         self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.automaton), "") for p in self.automaton}
         self.units = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
         #: The last character of a stretch, where another begins.
         self.edges = re.compile(f"[^{MARK}](?={MARK})|\n")
-        self.limit, self.cache, self.pairs = limit, Stretches(self.unit, limit), {}
+        self.limit, self.cache, self.pairs = limit, Stretches(self.unit, stretches), {}
         self.text_of = [
             p if k == NORMAL else "" if k in (CONTROL, BYTE) else model.trainer_spec.unk_surface
             for p, k in zip(self.pieces, self.kinds, strict=True)
@@ -132,8 +141,8 @@ class Codec:
             return [text]
         n = len(text)
         longest = [""] * (n + 1)
-        for last, piece in self.automaton.iter(text):  # by end, so the longest of a start comes last
-            longest[last + 1 - len(piece)] = piece
+        for last, (before, piece) in self.automaton.iter(text):  # by end, so the longest of a start comes last
+            longest[last - before] = piece
         failed, failures = bytearray((n >> 3) + 1), 0
         out: list[str] = []
         at, last, shorter, pairs, compatible = 0, None, self.shorter, self.pairs, self.compatible
@@ -165,17 +174,23 @@ class Codec:
         """The ids of one independent stretch, as little-endian 32-bit bytes."""
         if text.startswith(MARK * 2):
             parts = self.merge(text)
+        elif self.letters.issuperset(text):
+            parts = self.backtrack(text)
         else:
             parts, at = [], 0
             for i, c in enumerate(text):
-                if c not in self.ids:
+                if c not in self.letters:
                     parts += [*self.backtrack(text[at:i]), c]
                     at = i + 1
             parts += self.backtrack(text[at:])
+        known = self.ids
         ids: list[int] = []
         for p in parts:
-            ids += [self.ids[p]] if p in self.ids else [self.bytes[b] for b in p.encode()]
-        return np.array(ids, "<u4").tobytes()
+            if p in known:
+                ids.append(known[p])
+            else:
+                ids += [self.bytes[b] for b in p.encode()]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _parts(self, text: str) -> Iterator[str]:
         """A text in parts of about ``PART`` characters that end where a stretch does."""
