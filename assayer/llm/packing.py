@@ -115,10 +115,12 @@ def cacheable(path: str) -> bool:
 
 #: Letters beyond ASCII that are one code point in normal form and whose lower case is one letter too.
 LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
-#: What is encoded on its own: whole words that hold any other character, else the parts of ``SPLIT`` in either case.
-UNITS = re.compile(
-    rf"(?<!\S)(?=\S*[^\x21-\x7e\s{LATIN}])\S+|'[sS]|'[tT]|'[rR][eE]|'[vV][eE]|'[mM]|'[lL][lL]|'[dD]|[A-Za-z{LATIN}]+|[0-9]|[^\sA-Za-z0-9{LATIN}]+"
-)
+#: What is encoded on its own: the parts of ``SPLIT`` in either case ...
+PARTS = rf"[A-Za-z{LATIN}]+|[0-9]|'(?:[sStTmMdD]|[rRvV][eE]|[lL][lL])|[^\sA-Za-z0-9{LATIN}]+"
+#: ... and whole words that hold any other character.
+OTHERS = rf"(?<!\S)(?=\S*[^\x21-\x7e\s{LATIN}])\S+"
+_PLAIN_UNITS, _UNITS = re.compile(PARTS), re.compile(f"{OTHERS}|{PARTS}")
+_PLAIN_TEXT = re.compile(rf"[\s\x21-\x7e{LATIN}]*")
 _PLAIN = re.compile(rf"[\x21-\x7e{LATIN}]+")
 
 
@@ -156,6 +158,10 @@ class UnitCache(dict):
         return ids
 
 
+def units(text: str) -> list[str]:
+    return (_PLAIN_UNITS if _PLAIN_TEXT.fullmatch(text) else _UNITS).findall(text)
+
+
 def text_encoder(path: str):
     """text -> ids as little-endian 32-bit bytes, as the library encodes without special tokens added.
 
@@ -176,8 +182,8 @@ def text_encoder(path: str):
         if any(s in text for s in special) or any(c in text for c in odd):
             return whole(text)
         if len(text) <= PART:
-            return b"".join(map(cache.__getitem__, UNITS.findall(text)))
-        return b"".join(b"".join(map(cache.__getitem__, UNITS.findall(part))) for part in _parts(text))
+            return b"".join(map(cache.__getitem__, units(text)))
+        return b"".join(b"".join(map(cache.__getitem__, units(part))) for part in _parts(text))
 
     return encode
 
