@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from .quality_rules import REPEAT_WINDOW, RULES, STOP_WORDS, Rule
+from .secret_scan import ALLOWED, ALLOWED_INSIDE, CLASSES
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
@@ -91,3 +94,43 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
  CAST(sum(size) AS BIGINT) AS formatted_chars FROM p GROUP BY conv_id"""
+
+
+def _either_case(words: str) -> str:
+    return re.sub(r"[a-z]", lambda m: f"[{m[0].upper()}{m[0]}]", words)
+
+
+def secret_scan() -> str:
+    """Positions are running sums over matches and the gaps between them; windows are cut out one by one."""
+    assign = _either_case("(password|passwd|secret|token|api_?key)") + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    alphabet = "".join(dict.fromkeys(CLASSES[0].alphabet + CLASSES[1].alphabet))
+    run = "[A-Za-z0-9+/_=-]{20,}"
+    again = lambda times: "|".join(f"[{c}]{{{times}}}" if c != "-" else f"-{{{times}}}" for c in alphabet)
+    allowed, inside = ALLOWED, [again("6") if r"\1" in a else a for a in ALLOWED_INSIDE]
+    cut = f"{again('6,')}|=|//|(/[A-Za-z_-]+){{3,64}}"
+    sql = lambda regex: "'" + regex.replace("'", "''") + "'"
+    found = lambda value, patterns: "(" + " OR ".join(f"regexp_matches({value}, {sql(a)})" for a in patterns) + ")"
+    kinds = [("assign", assign, 2, 12), ("access", "AKIA[A-Z0-9]+", 0, 18), ("hex", "[0-9a-f]+", 0, 16), ("entropy", run, 0, 20)]
+    matches = " UNION ALL ".join(
+        f"""SELECT doc_id, {k} AS rank, {least} AS least, generate_subscripts(ms, 1) AS i, unnest(ms) AS m, unnest(vs) AS v, unnest(gaps[1:len(ms)]) AS gap FROM (
+ SELECT doc_id, regexp_extract_all(t, {sql(p)}) AS ms, regexp_extract_all(t, {sql(p)}, {group}) AS vs, string_split_regex(t, {sql(p)}) AS gaps FROM d)"""
+        for k, (_, p, group, least) in enumerate(kinds)
+    )
+    bits = f"CASE WHEN regexp_full_match(v, {sql(CLASSES[0].shape)}) THEN {CLASSES[0].bits} ELSE {CLASSES[1].bits} END"
+    w = CLASSES[0].window
+    random = f"length(v) >= {w} AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({matches}),
+s AS (SELECT *, CAST(sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, rank ORDER BY i) AS BIGINT) AS stop FROM m),
+p AS (SELECT doc_id, rank, stop - length(m) AS start, stop, v FROM s WHERE length(v) >= least),
+c AS (SELECT *, {found("v", inside)} AS mixed FROM p WHERE rank = 3 AND {random} AND NOT {found("v", allowed)}),
+e AS (SELECT doc_id, start, stop, v FROM c WHERE NOT mixed UNION ALL SELECT * FROM (SELECT doc_id, start, stop, unnest(string_split_regex(v, {sql(cut)})) AS v FROM c WHERE mixed)
+ WHERE {random} AND NOT {found("v", [*allowed, *inside])}),
+h AS (SELECT DISTINCT doc_id, start, stop FROM e
+ WHERE list_max(list_transform(range(1, length(v) - {w - 2}), lambda i: list_aggregate(string_split(v[i:i + {w - 1}], ''), 'entropy'))) >= {bits}),
+b AS (SELECT doc_id, rank, start, stop FROM p WHERE rank < 3),
+spans AS (SELECT * FROM b UNION ALL SELECT doc_id, 3, start, stop FROM h WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = h.doc_id AND b.start <= h.start AND h.stop <= b.stop)),
+o AS (SELECT *, ['assign', 'access', 'hex', 'entropy'][rank + 1] || ':' || start || ':' || stop AS span FROM spans)
+SELECT d.doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+ sha256(coalesce(string_agg(span, ',' ORDER BY start, rank, stop) FILTER (rank < 3), '')) AS base_sha256,
+ coalesce(string_agg(span, ',' ORDER BY start, rank, stop), '') AS spans, count(*) FILTER (rank = 3) AS n_entropy
+FROM d LEFT JOIN o USING (doc_id) GROUP BY d.doc_id"""

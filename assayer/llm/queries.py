@@ -125,6 +125,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_quality_rules": oracles.quality_rules(),
         "op3_embedding_near_dedup": oracles.embedding_near_dedup(),
         "op7_minhash_near_dedup": oracles.minhash_near_dedup(),
+        "op8_secret_scan": oracles.secret_scan(),
         "op9_substring_dedup": oracles.substring_dedup(),
         "op10_chat_format": oracles.chat_format(),
     }

@@ -460,3 +460,29 @@ def test_pipeline_on_hostile_tables(spark, tmp_path):
     assert collections.Counter((r.doc_id, r.length) for r in out.collect()) == want
     assert out.select("sequence_id").distinct().count() == -(-sum(n for _, n in want.elements()) // 4096)
     assert corpus_pipeline.best_fit_packing(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+# SQL of the queries
+
+
+def test_secret_scan_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    from assayer.llm.queries import op8_secret_scan, oracle_sql
+
+    from .test_text_operators import SECRET_TEXTS
+
+    rng = random.Random(15)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    value = lambda n: "".join(rng.choice(alphabet) for _ in range(n))
+    parts_ = [" ", "\n", "é🙂", "=", "//", "AAAAAAA", "/usr/lib/share", "sample-", "-", "_", "token: ", "Api_Key='", "AKIA" + "ABCDEFGHIJKLMN", "0123456789abcdef", "0F" * 8]
+    texts = ["".join(rng.choice([*parts_, value(24), value(12), value(40).lower()]) for _ in range(rng.randint(0, 9))) for _ in range(400)]
+    rows = list(enumerate([*SECRET_TEXTS, *texts]))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = op8_secret_scan(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    rel = con.sql(oracle_sql()["op8_secret_scan"])
+    want = sorted(tuple(r[rel.columns.index(c)] for c in got.columns) for r in rel.fetchall())
+    got = sorted(tuple(r) for r in got.collect())
+    assert [(a, b) for a, b in zip(got, want, strict=True) if a != b] == [] and sum(r[-1] for r in got) > 50
