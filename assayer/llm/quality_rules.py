@@ -6,7 +6,8 @@ nothing is gathered across rows.
 
 Defined cases: a null text counts as empty; an empty text has no words and so
 fails the base rule; repeated rows are judged one by one; an empty table gives
-an empty result; further input columns are kept out of the result.
+an empty result; further input columns are kept, those named like a statistic or
+an internal column (``_words`` and the like) are replaced.
 """
 
 from __future__ import annotations
