@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import sys
 import types
@@ -68,6 +70,8 @@ def forget() -> None:
     if kept is not None and hasattr(kept, "value"):
         del kept.key, kept.value
         gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+            ctypes.CDLL(None).malloc_trim(0)
     pa.default_memory_pool().release_unused()
 
 
