@@ -1,5 +1,6 @@
 """Deduplication, language, quality and the pipeline against brute force."""
 
+import math
 import random
 
 import numpy as np
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from assayer.llm import minhash
 from assayer.llm.components import connected_components
-from assayer.llm.embed_dedup import embedding_near_dedup, tables_for
+from assayer.llm.embed_dedup import SKETCH, SKETCH_MISS, embedding_near_dedup, sketch_reach, tables_for
 from assayer.llm.langid import identify, infer, keep_identified, train
 from assayer.llm.minhash import near_duplicates
 from assayer.llm.quality_mil import score
@@ -52,6 +53,13 @@ def test_recall_holds_at_every_size():
         assert (1 - (1 - np.arccos(0.98) / np.pi) ** bits) ** tables <= 1e-6
 
 
+@pytest.mark.parametrize("cosine", [0.8, 0.98, 1.0])
+def test_sketches_let_similar_pairs_through(cosine):
+    p, reach = np.arccos(cosine) / np.pi, sketch_reach(cosine)
+    beyond = lambda most: sum(math.comb(SKETCH, k) * p**k * (1 - p) ** (SKETCH - k) for k in range(most + 1, SKETCH + 1))
+    assert beyond(reach) < SKETCH_MISS and (reach == 0 or beyond(reach - 1) >= SKETCH_MISS)
+
+
 def _corpus(seed=4, n=120):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 4)))
