@@ -135,8 +135,10 @@ def embedding_near_dedup(df: DataFrame, cosine: float = 0.98, vec_id: str = "vec
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0)
     # A sum of 0.0 makes -0.0 and 0.0 one value, so that equal vectors have one key.
     rows = rows.withColumn("key", F.when(F.coalesce(usable, F.lit(False)), F.transform(v, lambda x: x + F.lit(0.0).cast("float"))))
+    # 128 bits stand for label and vector where results go back to rows, so that vectors are exchanged for the classes only.
+    names = [F.xxhash64("label", "key").alias("k1"), F.xxhash64(F.lit(1), "label", "key").alias("k2")]
     classes = rows.where("key is not null").groupBy("label", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
-    classes = materialize(classes, "vectors")
+    classes = materialize(classes.select("*", *names), "vectors")
     most = classes.groupBy("label", F.size("key").alias("dim")).count().agg(F.max("count")).first()[0] or 0
     bits, tables = tables_for(most, cosine)
 
@@ -207,9 +209,10 @@ def embedding_near_dedup(df: DataFrame, cosine: float = 0.98, vec_id: str = "vec
     found = materialize(near.mapInArrow(links, "rep long, links long, root long"), "found")
     total = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(found.where("rep <> root"), "rep", "root").withColumnRenamed("node", "rep")
-    result = classes.join(total, "rep", "left").join(parts, "rep", "left")
-    result = result.select("label", "key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = rows.join(result, ["label", "key"], "left")
+    result = classes.select("rep", "n", "k1", "k2").join(total, "rep", "left").join(parts, "rep", "left")
+    result = result.select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    hashes = [F.when(F.col("key").isNotNull(), k).alias(f"k{i}") for i, k in enumerate(names, 1)]
+    out = rows.select("vec_id", *hashes).join(result, ["k1", "k2"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
