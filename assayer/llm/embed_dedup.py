@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialize
+from .common import bound_batches, discard, materialize
 from .components import connected_components
 
 MISS, BLOCK, BUCKET = 1e-6, 1024, 128
@@ -156,8 +156,8 @@ def embedding_near_dedup(df: DataFrame, cosine: float = 0.98, vec_id: str = "vec
             sketch[at] = np.packbits(x @ planes(int(dim), SKETCH, 1) > 0, axis=1).view(np.int64)
         return pd.DataFrame({"signs": pd.Series(out, dtype=object), "s1": sketch[:, 0], "s2": sketch[:, 1]})
 
-    signed = classes.select("label", "rep", "n", "key", hashed("key").alias("h")).select("label", "rep", "n", "key", "h.*")
-    signed = materialize(signed, "signs")
+    signed = materialize(classes.select("*", hashed("key").alias("h")).select(*classes.columns, "h.*"), "signs")
+    discard(classes)
     # A bucket goes by a hash until vectors meet: two that collide share sketches in vain, no more.
     bucket = F.xxhash64("label", F.size("key"), "table", "sign").alias("bucket")
     met = signed.select("label", "key", "rep", "s1", "s2", F.posexplode("signs").alias("table", "sign")).select(bucket, "table", "rep", "s1", "s2")
@@ -209,7 +209,7 @@ def embedding_near_dedup(df: DataFrame, cosine: float = 0.98, vec_id: str = "vec
     found = materialize(near.mapInArrow(links, "rep long, links long, root long"), "found")
     total = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(found.where("rep <> root"), "rep", "root").withColumnRenamed("node", "rep")
-    result = classes.select("rep", "n", "k1", "k2").join(total, "rep", "left").join(parts, "rep", "left")
+    result = signed.select("rep", "n", "k1", "k2").join(total, "rep", "left").join(parts, "rep", "left")
     result = result.select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     hashes = [F.when(F.col("key").isNotNull(), k).alias(f"k{i}") for i, k in enumerate(names, 1)]
     out = rows.select("vec_id", *hashes).join(result, ["k1", "k2"], "left")
