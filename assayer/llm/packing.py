@@ -20,11 +20,12 @@ import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +33,8 @@ from .common import bound_batches, fresh, materialize, per_process
 
 #: Longer words are encoded anew each time; so many characters of a text are split at once.
 LONGEST, PART = 64, 1 << 20
+#: So many characters of shorter texts are encoded together.
+TOGETHER = 8 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -120,6 +123,9 @@ PARTS = rf"[A-Za-z{LATIN}]+|[0-9]|'(?:[sStTmMdD]|[rRvV][eE]|[lL][lL])|[^\sA-Za-z
 #: ... and whole words that hold any other character.
 OTHERS = rf"(?<!\S)(?=\S*[^\x21-\x7e\s{LATIN}])\S+"
 _PLAIN_UNITS, _UNITS = re.compile(PARTS), re.compile(f"{OTHERS}|{PARTS}")
+_PLAIN_LINES, _LINES = re.compile(rf"{PARTS}|\n"), re.compile(rf"{OTHERS}|{PARTS}|\n")
+#: Stands between the ids of two words; no token has this id.
+BETWEEN = 0xFFFFFFFF
 _PLAIN_TEXT = re.compile(rf"[\s\x21-\x7e{LATIN}]*")
 _PLAIN = re.compile(rf"[\x21-\x7e{LATIN}]+")
 
@@ -135,20 +141,26 @@ class UnitCache(dict):
     """unit -> ids as bytes, from the tokenizer's own parts; emptied when it holds ``limit`` bytes.
 
     A unit encodes alike wherever it stands, because the pre-tokenizer cuts there
-    and no merge crosses a cut. Long units are not kept.
+    and no merge crosses a cut. Long units are not kept. A line break, which is in no
+    unit, gives ``BETWEEN``.
     """
 
     def __init__(self, tokenizer, limit: int = 120 << 20) -> None:
         self.limit, self.model, self.held = limit, tokenizer.model, 0
         self.normalizer, self.split, self.letters = tokenizer.normalizer, tokenizer.pre_tokenizer, _byte_letters()
 
+    def _ids(self, unit: str) -> bytes:
+        tokens = self.model.tokenize(unit)
+        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+
     def __missing__(self, unit: str) -> bytes:
-        if _PLAIN.fullmatch(unit):
-            tokens = self.model.tokenize(unit.lower().encode().decode("latin-1").translate(self.letters))
+        if unit == "\n":
+            ids = struct.pack("<I", BETWEEN)
+        elif _PLAIN.fullmatch(unit):
+            ids = self._ids(unit.lower() if unit.isascii() else unit.lower().encode().decode("latin-1").translate(self.letters))
         else:
             parts = self.split.pre_tokenize_str(self.normalizer.normalize_str(unit))
-            tokens = [t for p, _ in parts for t in self.model.tokenize(p)]
-        ids = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+            ids = b"".join(self._ids(p) for p, _ in parts)
         if len(unit) <= LONGEST:
             if self.held > self.limit:
                 self.clear()
@@ -162,30 +174,75 @@ def units(text: str) -> list[str]:
     return (_PLAIN_UNITS if _PLAIN_TEXT.fullmatch(text) else _UNITS).findall(text)
 
 
-def text_encoder(path: str):
+class TextEncoder:
     """text -> ids as little-endian 32-bit bytes, as the library encodes without special tokens added.
 
     Files with another normaliser or pre-tokenizer than the known ones go through the library whole.
     """
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    whole = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    if not cacheable(path):
-        return whole
-    cache = UnitCache(tokenizer)
-    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+
     #: Separators that Python splits at and the tokenizer does not.
-    odd = [chr(c) for c in range(0x1C, 0x20)]
+    odd = tuple(chr(c) for c in range(0x1C, 0x20))
 
-    def encode(text: str) -> bytes:
-        if any(s in text for s in special) or any(c in text for c in odd):
-            return whole(text)
-        if len(text) <= PART:
-            return b"".join(map(cache.__getitem__, units(text)))
-        return b"".join(b"".join(map(cache.__getitem__, units(part))) for part in _parts(text))
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.cache = UnitCache(self.tokenizer) if cacheable(path) else None
+        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
 
-    return encode
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def by_units(self, text: str) -> bool:
+        return self.cache is not None and not any(s in text for s in self.special) and not any(c in text for c in self.odd)
+
+    def __call__(self, text: str) -> bytes:
+        if not self.by_units(text):
+            return self.whole(text)
+        if len(text) <= PART:
+            return b"".join(map(self.cache.__getitem__, units(text)))
+        return b"".join(b"".join(map(self.cache.__getitem__, units(part))) for part in _parts(text))
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """The same for each text; those that are cut into units share the work on equal words.
+
+        No unit crosses white space, so each distinct word of the texts is cut and
+        encoded once and its ids are copied to where it stands.
+        """
+        shared = [i for i, t in enumerate(texts) if len(t) <= PART and self.by_units(t)]
+        out = dict(zip(shared, self._shared([texts[i] for i in shared]) if shared else (), strict=True))
+        return [out[i] if i in out else self(t) for i, t in enumerate(texts)]
+
+    def _shared(self, texts: list[str]) -> list[bytes]:
+        words = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+        coded = pc.dictionary_encode(words.flatten())
+        word, distinct = coded.indices.to_numpy(), coded.dictionary
+        lines = pc.binary_join(pa.ListArray.from_arrays([0, len(distinct)], distinct), "\n")[0].as_py()
+        found = (_PLAIN_LINES if _PLAIN_TEXT.fullmatch(lines) else _LINES).findall(lines)
+        ids = np.frombuffer(b"".join(map(self.cache.__getitem__, found)), "<u4")
+        cuts = np.flatnonzero(ids == BETWEEN)
+        first, last = np.concatenate([[0], cuts + 1]), np.append(cuts, len(ids))
+        length = (last - first)[word]
+        ends = np.concatenate([[0], np.cumsum(length)])
+        raw = ids[np.repeat(first[word] - ends[:-1], length) + np.arange(ends[-1])].tobytes()
+        edges = 4 * ends[words.offsets.to_numpy() - words.offsets[0].as_py()]
+        return [raw[a:b] for a, b in pairwise(edges.tolist())]
+
+
+def text_encoder(path: str) -> TextEncoder:
+    return TextEncoder(path)
+
+
+def _together(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that hold about ``TOGETHER`` characters."""
+    first, held = 0, 0
+    for i, t in enumerate(texts):
+        if i > first and held + len(t) > TOGETHER:
+            yield first, i
+            first, held = i, 0
+        held += len(t)
+    if first < len(texts):
+        yield first, len(texts)
 
 
 def _parts(text: str) -> Iterator[str]:
@@ -209,11 +266,11 @@ def token_pieces(df: DataFrame, tokenizer_path: str, end_id: int = 1, size: int
         encode = per_process(("encoder", tokenizer_path), lambda: text_encoder(tokenizer_path))
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            docs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            while part := list(islice(docs, 500)):
+            docs, texts = batch.column(0).to_pylist(), pc.fill_null(batch.column(1), "").to_pylist()
+            for low, high in _together(texts):
                 rows = []
-                for doc, t in part:
-                    ids = encode(t or "") + end
+                for doc, ids in zip(docs[low:high], encode.many(texts[low:high]), strict=True):
+                    ids += end
                     for k, at in enumerate(range(0, len(ids), step)):
                         p = ids[at : at + step]
                         rows.append((doc, k, at // 4, len(p) // 4, zlib.crc32(p), p))

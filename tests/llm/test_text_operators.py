@@ -100,6 +100,14 @@ def test_word_encoder(text):
     assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=40), st.lists(st.sampled_from(["It's", " ", "\n", "a,b", "é", "\x1c", "日x", "\u00a0", "[PAD]"]), max_size=9).map("".join)), max_size=6))
+def test_texts_encoded_together(texts):
+    encode = text_encoder(WORDS_FILE) if "_words" not in globals() else _words[1]
+    encode.cache.limit = 500  # emptied often
+    assert encode.many(texts) == [encode.whole(t) for t in texts]
+
+
 ALPHABET = st.sampled_from(["a", "th", "e", " ", "  ", "\n", "▁", "é", "日", "🙂", "\x00", "\t", "0", "ing", "\r\n", "    ", "."])
 
 
