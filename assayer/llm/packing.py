@@ -34,7 +34,7 @@ from .common import bound_batches, fresh, materialize, per_process
 #: Longer words are encoded anew each time; so many characters of a text are split at once.
 LONGEST, PART = 64, 1 << 20
 #: So many characters of shorter texts are encoded together.
-TOGETHER = 8 << 20
+TOGETHER = 1 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
