@@ -118,8 +118,12 @@ def grouped(value: Column) -> Column:
     return F.format_number(value, 0)
 
 
-def megabytes(size: Column) -> Column:
-    return F.concat(fixed(size / F.lit(1024.0) / F.lit(1024.0), 2), F.lit(" MB"))
+def megabytes(size: Column, faithful: bool = True) -> Column:
+    """Whole bytes in MB with two digits, null for null; ties go up as in a browser, or, not faithful, to the even digit."""
+    mb = size / F.lit(1024.0) / F.lit(1024.0)
+    # The part after the point has at most 20 binary digits here, so a hundred times it is exact and a tie is seen as one.
+    digits = mb if faithful else F.floor(mb) + F.rint((mb - F.floor(mb)) * 100) / 100
+    return F.concat(F.when(mb.isNotNull(), fixed(digits, 2)), F.lit(" MB"))
 
 
 def progress(value: Column) -> Column:

@@ -5,8 +5,10 @@ import sys
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from assayer import queries as Q
+from assayer.functions.text import megabytes
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,6 +43,23 @@ def test_dependency_join_of_whole_tables(spark, duck):
     assert len(got) > spark.read.parquet(f"{SF}/part.parquet").where("p_size > 40").count()
 
 
+def test_sizes_half_way_between_two_digits(spark, tmp_path):
+    """Keys of larger tables: 131072 * 12345 bytes are 1543.125 MB, which the SQL writes with the even digit."""
+    keys = [131072 * k for k in range(1, 17, 2)] + [131071, 131073, 131072 * 2**32 + 131072, -131072, 0, None]
+    spark.createDataFrame([(k, 7) for k in keys], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    got = [tuple(r) for r in Q.names_and_sizes(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(con.execute(Q.oracle_sql()["names_and_sizes"]).fetchall(), key=repr)
+    sizes = {k: size for k, _, _, size, _ in got}
+    assert (sizes[131072], sizes[131072 * 3], sizes[None]) == ("1543.12 MB", "4629.38 MB", None)
+
+
+def test_sizes_in_the_upload_form_go_up(spark):
+    row = spark.range(1).select(megabytes(F.lit(131072 * 12345)), megabytes(F.lit(131072 * 12345), faithful=False)).first()
+    assert tuple(row) == ("1543.13 MB", "1543.12 MB")
+
+
 def test_entry_without_the_training_data_part():
     """The registry still imports when that subpackage and the pipeline are gone."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
